@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canopyq.operators import packed
+from canopyq.session import table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.packed_attributes(table(spark, sf_dir, "nodes"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
