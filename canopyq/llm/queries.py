@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyq.llm import encoding, mixing
+from canopyq.llm import consistency, encoding, mixing, mojibake
 from canopyq.session import table
 
 
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistency.lookalike_nodes(table(spark, sf_dir, "nodes"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_forms(spark, sf_dir).select("doc_id", "node_id")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_nodes(table(spark, sf_dir, "nodes"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_restored(spark, sf_dir).select("doc_id", "node_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -23,7 +39,8 @@ def p7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_shares": p7_shares, "p7_selected": p7_selected}
+    all_of_them = (p1_found, p1_forms, p4_found, p4_restored, p6_ids, p7_shares, p7_selected)
+    return {q.__name__: q for q in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
