@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PACKAGE = Path(__file__).resolve().parent
+
 #: Settings under which a cached node table joins with itself without another shuffle.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,3 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Let the Python workers import this package where their path does not have it: Spark sends them an archive of it."""
+    path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    context = spark.sparkContext
+    if str(_PACKAGE.parent) in path or any(f.endswith("canopyq-package.zip") for f in context.listFiles):
+        return spark
+    archive = Path(tempfile.mkdtemp()) / "canopyq-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(_PACKAGE.rglob("*.py")):
+            z.write(file, file.relative_to(_PACKAGE.parent))
+    context.addPyFile(str(archive))
+    return spark
