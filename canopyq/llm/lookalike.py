@@ -53,7 +53,7 @@ _invisible = re.compile(f"[{INVISIBLE}]")
 
 
 def _ranges(points: list[int]) -> str:
-    """A character class of the points, as \\x{...} or \\U escapes are not alike in Java and Python: plain characters."""
+    """A character class of the points."""
     out, k = [], 0
     while k < len(points):
         z = k
@@ -82,18 +82,43 @@ def folded() -> dict[str, str]:
     return out
 
 
+@functools.cache
+def _all_suspects() -> frozenset[str]:
+    """All characters that can be a case by themselves or with the one before them."""
+    composing = set()
+    for k in range(128, sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(k)).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.combining(c := chr(int(parts[1], 16))) and unicodedata.normalize("NFC", chr(k)) == chr(k):
+            composing.add(c)
+    nothing = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}]")
+    plain = {chr(k) for k in range(128, 0x10000) if nothing.match(chr(k))}
+    return frozenset({*folded(), *composing, *plain, *map(chr, range(0x1100, 0x1200))})
+
+
 @functools.cache
 def suspects() -> str:
-    """A character class, for Java and Python, of all characters that can be a case by themselves or with the one before them."""
-    composing = {c for k in range(128, sys.maxunicode + 1) if len(d := unicodedata.decomposition(chr(k)).split()) == 2 and not d[0].startswith("<") for c in [chr(int(d[1], 16))] if unicodedata.combining(c) and unicodedata.normalize("NFC", chr(k)) == chr(k)}
-    points = {ord(c) for c in [*folded(), *composing, *HYPHENS]} | set(range(0x1100, 0x1200))
-    return _ranges(sorted(points)) + INVISIBLE + SPACES
+    """A character class of the suspects."""
+    return _ranges(sorted(map(ord, _all_suspects())))
+
+
+@functools.cache
+def _coarse() -> str:
+    """A class of few ranges that holds all suspects: a long class is slow in the JVM."""
+    points = sorted({ord(c) for c in _all_suspects()})
+    out: list[list[int]] = []
+    for k in points:
+        if out and k - out[-1][1] <= 32 and not (out[-1][1] < 0xC0 < k or out[-1][1] <= 0x36F < k):
+            out[-1][1] = k
+        else:
+            out.append([k, k])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in out)
 
 
 def may_change(value: Column) -> Column:
     """Whether a value can be a case at all, told without Python: a suspect character, or letters of two of the scripts that share shapes."""
-    has = [value.rlike(f"[{x}]") for x in (_latin, _cyrillic, _greek)]
-    return value.rlike(f"[{suspects()}]") | (has[0] & has[1]) | (has[0] & has[2]) | (has[1] & has[2])
+    latin, cyrillic, greek = (value.rlike(f"[{x}]") for x in (_latin, _cyrillic, _greek))
+    either = value.rlike(f"[{_cyrillic}{_greek}]")
+    return value.rlike(r"[^\x00-\x7f]") & (value.rlike(f"[{_coarse()}]") | (either & (latin | (cyrillic & greek))))
 
 
 @dataclass
