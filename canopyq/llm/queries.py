@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyq.llm import consistency, encoding, mixing, mojibake, residue
+from canopyq.llm import boilerplate, consistency, encoding, mixing, mojibake, residue
 from canopyq.session import table
 
 
@@ -26,6 +26,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_kinds(spark, sf_dir).select("doc_id", "node_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_text_nodes(table(spark, sf_dir, "nodes"))
+
+
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_nodes(table(spark, sf_dir, "nodes"))
 
@@ -47,7 +51,7 @@ def p7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of_them = (p1_found, p1_forms, p2_found, p2_kinds, p4_found, p4_restored, p6_ids, p7_shares, p7_selected)
+    all_of_them = (p1_found, p1_forms, p2_found, p2_kinds, p3_found, p4_found, p4_restored, p6_ids, p7_shares, p7_selected)
     return {q.__name__: q for q in all_of_them}
 
 

@@ -7,9 +7,11 @@ wording needs none either, one told by some of its words only counts where it re
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +109,16 @@ _ASK = re.compile(
 )
 _SKILLS = re.compile(r"\bskills?\b|\bcourses?\b|\bteach\b|\blisted\b|\bcounts? as\b")
 
+_opens = re.compile(r"[{<%\[$]|\*\||@@|__")
+#: Of each phrase rule above, words of which it needs one.
+_KEYS = (
+    "todo|tbd|tba|tbc|fixme|nan|undefined|null|none|n/a|placeholder|dummy|sample|example|your|insert|enter|add|edit|default|untitled| here|to be added|to come|coming soon|test|asdf|qwerty|xxx|foo|bar|baz|filler|under construction"
+    "|texte|votre|texto|ihr text|beispiel|platzhalter|muster|blindtext|текст|заголов|описан|テキスト|文字|内容|文本|텍스트|내용|testo|tekst|metin|văn bản mẫu"
+    "|heading 0|title 0|lorem|ipsum|dolor|amet|elit|aliqua|tempor|magna|veniam|quis|nostrud|labore|consectetur|enim|minim|adipiscing"
+    "|found|page|introuvable|seite|página|pagina|страниц|stron|sayfa|trang|ページ|页面|페이지|الصفحة|صفحه|σελίδα|पृष्ठ|หน้า|server|service|dienst|servidor|servizio|serv|serwera|sunucu|сервис|сервера|サーバ|服务器|서버|too many|request|gateway"
+    "|forbidden|denied|unauthorized|session|sitzung|sesión|сессии|セッション|会话|browser|verifying|moment|error|exception|warning|notice|traceback|refusé|verweigert|denegado|запрещ|アクセス|拒绝|http"
+    "|javascript|java script|js|script|skript|скрипт|スクリプト|脚本|자바스크립트|스크립트|heading|headline|title|caption|description|paragraph|label|image|quote|summary|subtitle|intro|name|copy|click"
+)
 _url = re.compile(r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w/])(?:/[\w.~-]+){2,}/?|\b[a-z]:\\[\w\\.~-]+|\b(?:\d{1,3}\.){3}\d{1,3}\b", re.I)
 _date = re.compile(r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
 _number = re.compile(r"\d+(?:[.,]\d+)*")
@@ -122,10 +134,23 @@ def masked(form: str) -> str:
     return _space.sub(" ", s).strip().lower()
 
 
+@functools.cache
+def _quick() -> ahocorasick.Automaton:
+    """Words of which every phrase rule needs one."""
+    a = ahocorasick.Automaton()
+    for w in _KEYS.split("|"):
+        a.add_word(w, True)
+    a.make_automaton()
+    return a
+
+
 def whole(text: str) -> str:
     """"placeholder", "filler", "message", "scripts" or "" of a text, by rules that need no recurrence. The text is in its one form."""
-    if PLACEHOLDER.search(text):
+    if _opens.search(text) and PLACEHOLDER.search(text):
         return "placeholder"
+    low = text.lower()
+    if next(_quick().iter(low), None) is None:
+        return ""
     bare = _ends.sub("", masked(_site.sub("", text)))
     parts = [p for p in re.split(r"\s*[|]\s*", bare) if p]
     if parts and all(FILLER.fullmatch(p.rstrip(" .!…:")) for p in parts):
