@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyq.llm import boilerplate, consistency, encoding, mixing, mojibake, residue
+from canopyq.llm import boilerplate, consistency, encoding, mixing, mojibake, residue, sentences
 from canopyq.session import table
 
 
@@ -50,8 +50,12 @@ def p7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of_them = (p1_found, p1_forms, p2_found, p2_kinds, p3_found, p4_found, p4_restored, p6_ids, p7_shares, p7_selected)
+    all_of_them = (p1_found, p1_forms, p2_found, p2_kinds, p3_found, p4_found, p4_restored, p6_ids, p7_shares, p7_selected, p8_found)
     return {q.__name__: q for q in all_of_them}
 
 
