@@ -20,8 +20,9 @@ _BLANK = r"\t\n\r\u000b\f \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 _DOUBLE = r'&quot;|&#0*34;|&#[xX]0*22;|&[lr]dquo;|\\"'
 _SINGLE = r"&apos;|&#0*39;|&#[xX]0*27;|&[lr]squo;|\\'"
 _MARKS = r""",;|·•/、，；｜#\[\]"'“”„‘’«»"""
-#: One token: a quote in any spelling, a mark, a white-space character, a run of digits, or a run of anything else.
-TOKEN = rf"{_DOUBLE}|{_SINGLE}|[{_MARKS}]|[{_BLANK}]|[0-9]+|(?:(?!{_DOUBLE}|{_SINGLE})(?:&#?[A-Za-z0-9]+;|[^{_MARKS}{_BLANK}0-9]))+"
+#: One token: a quote in any spelling, a mark, a white-space character, a run of digits, another character reference, or a run of anything else.
+#: No group is repeated: the JVM would match a long one by recursion.
+TOKEN = rf"{_DOUBLE}|{_SINGLE}|[{_MARKS}]|[{_BLANK}]|[0-9]+|&#?[A-Za-z0-9]+;|[^{_MARKS}{_BLANK}0-9&\\]+|[&\\]"
 
 _CLOSES = {'"': '"', "'": "'", "“": "”“", "„": "“”", "‘": "’", "«": "»", "»": "«"}
 #: Separators wherever they stand outside quotes.
