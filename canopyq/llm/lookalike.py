@@ -202,10 +202,15 @@ class Rewriter:
         """The text in its one form."""
         if text.isascii():
             return text
-        if self.single.search(text):
-            text = unicodedata.normalize("NFC", self._spelled(self._shown(text)))
-            text = unicodedata.normalize("NFC", text)
-        return self._scripts(text)
+        for _ in range(4):  # a rewritten word can tell the script of its neighbours
+            new = text
+            if self.single.search(new):
+                new = unicodedata.normalize("NFC", self._spelled(self._shown(new)))
+            new = self._scripts(new)
+            if new == text:
+                break
+            text = new
+        return text
 
     def _shown(self, text: str) -> str:
         """Without characters that show nothing, and with plain spaces and hyphens. What a script or an emoji needs stays."""

@@ -139,11 +139,13 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     picked = picked.filter(F.col("uses") > 0).select(F.expr("filter(held, x -> x.source = source)[0].doc_id").alias("doc_id"), "source", "n_tokens", F.col("uses").cast("int").alias("uses"))
     capacity = u.select(F.explode("pattern").alias("source"), "n_tokens").groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     got = picked.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("actual_tokens"), F.max("uses").alias("most_uses"), F.count(F.lit(1)).alias("documents"))
-    quota = spark.createDataFrame([(s, q) for s, q in quotas.items()] or [("", 0)], "source string, quota_tokens long")
+    routed = dict.fromkeys(quotas, 0)
+    for (_, s), x in taken.items():
+        routed[s] += x
+    quota = spark.createDataFrame([(s, q, routed[s] >= q) for s, q in quotas.items()] or [("", 0, True)], "source string, quota_tokens long, reached boolean")
     out = good.select("source", "target_share", "max_repeats").join(F.broadcast(quota), "source", "left").join(capacity, "source", "left").join(got, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    out = out.select("source", "target_share", "max_repeats", zero("available_tokens"), zero("quota_tokens"), zero("actual_tokens"), zero("documents"), zero("most_uses"))
+    out = out.select("source", "target_share", "max_repeats", zero("available_tokens"), zero("quota_tokens"), zero("actual_tokens"), zero("documents"), zero("most_uses"), "reached")
     all_tokens = F.sum("actual_tokens").over(Window.partitionBy(F.lit(1)))  # at most MOST_SOURCES rows
-    report = out.withColumn("actual_share", F.when(all_tokens > 0, F.col("actual_tokens") / all_tokens).otherwise(F.lit(0.0)))
-    near = F.greatest(F.col("quota_tokens") * 0.001, F.lit(32768))
-    return picked, report.withColumn("reached", F.col("actual_tokens") >= F.col("quota_tokens") - near)
+    share_column = F.when(all_tokens > 0, F.col("actual_tokens") / all_tokens).otherwise(F.lit(0.0))
+    return picked, out.withColumn("actual_share", share_column)

@@ -176,8 +176,9 @@ def _classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def masked_hash(value: Column) -> list[Column]:
     """Two hashes of a text in lower case with addresses, dates and numbers masked, computed in the JVM."""
     v = F.lower(value)
-    v = F.when(v.rlike(r"[/@\\]"), F.regexp_replace(v, r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?:/[\w.~-]+){2,}/?|\b[a-z]:\\[\w\\.~-]+", "@")).otherwise(v)
-    v = F.regexp_replace(v, r"[0-9]+(?:[.,:/-][0-9]+)*", "0")
+    # no group is repeated: the JVM would match a long one by recursion
+    v = F.when(v.rlike(r"[/@\\]"), F.regexp_replace(v, r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+\.[\w.-]+|/[\w.~-]+/[\w./~-]*|\b[a-z]:\\[\w\\.~-]+", "@")).otherwise(v)
+    v = F.regexp_replace(v, r"[0-9][0-9.,:/-]*", "0")
     v = F.trim(F.regexp_replace(v, r"\s+", " "))
     return [F.xxhash64(v).alias("h1"), F.xxhash64(v, F.lit(1)).alias("h2")]
 
