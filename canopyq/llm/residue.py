@@ -123,6 +123,7 @@ _url = re.compile(r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\
 _date = re.compile(r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
 _number = re.compile(r"\d+(?:[.,]\d+)*")
 _space = re.compile(r"\s+")
+_numbered = re.compile(r"(?:\s[#(]?0\)?)+$")
 #: The name of the site at the end of a page title.
 _site = re.compile(r"\s+[–—|-]\s+[\w-]+(?:\.[\w-]+)+\s*$")
 _ends = re.compile(r"^[\s|•·*\"“”'«»-]+|[\s|•·*\"“”'«»-]+$")
@@ -153,7 +154,7 @@ def whole(text: str) -> str:
         return ""
     bare = _ends.sub("", masked(_site.sub("", text)))
     parts = [p for p in re.split(r"\s*[|]\s*", bare) if p]
-    if parts and all(FILLER.fullmatch(p.rstrip(" .!…:")) for p in parts):
+    if parts and all(FILLER.fullmatch(p) or FILLER.fullmatch(_numbered.sub("", p)) for p in (q.rstrip(" .!…:") for q in parts)):
         return "filler"
     words = re.findall(r"[^\W\d_]+", bare)
     latin = sum(w in LATIN_FILLER for w in words)
