@@ -29,12 +29,12 @@ GOES_ON = frozenset(
     "p.ex p.ej sra sr srta dra ud uds núm aprox pág env m mme mlle mm av bd "
     "np ul tzw tzn al pl str godz hr fr frl abb abs bd bzw ca d.h z.b u.a s.o vgl evtl ggf str "
     "ok örn yak bkz sn doç ths ts tp gs pgs sig sigg dott cfr pag ing avv "
-    "т.е ул напр руб им г гг рис стр см д-р проф т.к тыс млн млрд "
+    "v.v т.е ул напр руб им г гг рис стр см д-р проф т.к тыс млн млрд "
     "π.χ αρ δηλ σελ κ κα δρ श्री डॉ रु द ص د م أ a.m p.m".split()
 )
 #: Abbreviations that can end a sentence; after those in the second list only before a capital.
 ENDS = frozenset("etc usw ecc itd itp т.д т.п др κ.λπ κτλ kg km cm mm g".split())
-ENDS_BEFORE_CAPITAL = frozenset("vb v.v vs.v jr inc ltd co corp bros u.s".split())
+ENDS_BEFORE_CAPITAL = frozenset("vb jr inc ltd co corp bros u.s".split())
 #: What follows a quotation that the sentence goes on after.
 SAID = re.compile(
     r"\s*(?:said|says|asked|replied|answered|cried|added|wrote|dit|disse|dijo|dice|preguntó|respondió|répondit|demanda|sagte|fragte|antwortete|rief|powiedzia|odpowiedzia|zapyta|dedi|diye|сказал|спросил|ответил|говорит"
@@ -148,7 +148,7 @@ def _ends(text: str, a: int, z: int, after: int) -> bool:
         if small:
             return token != "1" and _small_starts(text, a)
         return last not in DETERMINERS if nxt.isupper() else token != "1" or nxt.islower()
-    if small and _url.search(text, max(0, a - 120), a):
+    if not nxt.isupper() and nxt.isalpha() and not (nxt.islower() and not small) and _url.search(text, max(0, a - 120), a):
         return False
     return True
 
