@@ -274,7 +274,7 @@ class Rewriter:
         v = {"latin": 0, "cyrillic": 0, "greek": 0}
         for c in word:
             s = script(c)
-            if s and not (c in COMMON or self._twin(c)):
+            if s and c not in CYRILLIC and c not in GREEK and not self._twin(c):
                 v[s] += 1
         return v
 
