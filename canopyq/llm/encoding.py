@@ -65,23 +65,23 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     No special tokens are added, and their strings count as ordinary text. A null or empty text has no ids; a blank text is encoded as
     it is. Repeated rows come out as often as they came in; other columns of ``docs`` are not read. A text of more than ``long_chars``
     characters is cut into blocks that are spread over the tasks, encoded there, and put together as a tree (see ``bpe``). Each distinct
-    long text is encoded once. ``keep`` may not name a column ``ids`` or ``n_tokens``; a ValueError says so.
+    long text is encoded once. ``keep`` may not name the output column; a ValueError says so.
     """
     out = "ids" if ids else "n_tokens"
-    if out in keep or text in keep:
-        raise ValueError(f"keep may not hold {out} or {text}")
+    if out in keep or {"__text", "__h", "__ids"} & set(keep):
+        raise ValueError(f"keep may not hold {out}, __text, __h or __ids")
     path = path or bpe.default_path()
-    docs = docs.select(*keep, F.col(text).alias("text"))
+    docs = docs.select(*keep, F.col(text).alias("__text"))
     of = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([*(of[k] for k in keep), T.StructField(out, T.ArrayType(T.IntegerType()) if ids else T.LongType())])
-    is_long = F.length("text") > long_chars
-    short = docs.filter(F.col("text").isNull() | ~is_long).mapInArrow(_encoder(path, ids), schema)
-    long = docs.filter(is_long).withColumn("h", F.sha2("text", 256))
-    blocks = long.select("h", "text").dropDuplicates(["h"]).mapInPandas(_blocks(path, block_chars), "h string, n int, part string, inside boolean")
+    is_long = F.length("__text") > long_chars
+    short = docs.filter(F.col("__text").isNull() | ~is_long).mapInArrow(_encoder(path, ids), schema)
+    long = docs.filter(is_long).withColumn("__h", F.sha2("__text", 256))
+    blocks = long.select(F.col("__h").alias("h"), F.col("__text").alias("text")).dropDuplicates(["h"]).mapInPandas(_blocks(path, block_chars), "h string, n int, part string, inside boolean")
     blocks = blocks.repartition(F.col("h"), F.col("n"))
     encoded = blocks.mapInPandas(_encode_blocks(path), "h string, n int, inside boolean, ids array<int>, head int, tail int, pieces int")
     whole = encoded.groupBy("h").applyInPandas(_unite(path), "h string, ids array<int>")
     value = F.col("__ids") if ids else F.size("__ids").cast("long")
     # the long texts themselves stay behind: only their hashes meet the ids
-    joined = long.select(*[F.col(k) for k in keep], F.col("h").alias("__h")).join(whole.select(F.col("h").alias("__h"), F.col("ids").alias("__ids")), "__h")
+    joined = long.select(*keep, "__h").join(whole.select(F.col("h").alias("__h"), F.col("ids").alias("__ids")), "__h")
     return short.unionByName(joined.select(*keep, value.alias(out)))

@@ -349,5 +349,5 @@ def split_sentences(docs: DataFrame, keep: list[str], text: str = "text", long_c
     states = chunks.mapInPandas(_functions, "h string, n int, f array<int>").groupBy("h").applyInPandas(_starts, "h string, n int, state int")
     ends = chunks.join(states, ["h", "n"]).mapInPandas(_boundaries, "h string, e int").groupBy("h").agg(F.collect_list("e").alias("ends"))
     units = distinct.join(ends, "h", "left").groupBy("h").applyInPandas(_units, "h string, a int, z int")
-    out = long.select(*keep, "__h").join(units.select(F.col("h").alias("__h"), "a", "z"), "__h")
-    return short.unionByName(out.select(*keep, F.col("a").alias("sent_start"), F.col("z").alias("sent_end")))
+    out = long.select(*keep, "__h").join(units.select(F.col("h").alias("__h"), F.col("a").alias("__a"), F.col("z").alias("__z")), "__h")
+    return short.unionByName(out.select(*keep, F.col("__a").alias("sent_start"), F.col("__z").alias("sent_end")))

@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from canopyq.llm import bpe, encoding
 
@@ -60,5 +61,7 @@ def test_operator(spark):
     twice = encoding.encode(df.unionByName(df), ["doc_id"], long_chars=1000).collect()
     assert len(twice) == 2 * len(texts)
     assert encoding.encode(df.limit(0), ["doc_id"]).collect() == []
+    clash = df.withColumnRenamed("text", "body").withColumnRenamed("doc_id", "h").withColumn("text", F.lit("other")).drop("ids")
+    assert {r.h: r.ids for r in encoding.encode(clash, ["h", "text"], text="body", long_chars=1000).collect()} == got
     with pytest.raises(ValueError, match="keep"):
         encoding.encode(df, ["ids"])

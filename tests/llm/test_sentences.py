@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from canopyq.llm import sentences as s
 
@@ -82,6 +83,8 @@ def test_operator(spark):
     assert [f.simpleString() for f in whole.schema] == ["doc_id:bigint", "sent_start:int", "sent_end:int"]
     assert sorted(map(tuple, whole.collect())) == want
     assert sorted(map(tuple, s.split_sentences(df, ["doc_id"], long_chars=1500, chunk_chars=700).collect())) == want
+    clash = df.withColumnRenamed("doc_id", "a").withColumn("z", F.lit(1)).withColumn("h", F.lit(2))
+    assert s.split_sentences(clash, ["a", "z", "h"], long_chars=1500, chunk_chars=700).count() == len(want)
     assert s.split_sentences(df.limit(0), ["doc_id"]).collect() == []
     with pytest.raises(ValueError, match="keep"):
         s.split_sentences(df, ["sent_start"])
