@@ -43,6 +43,9 @@ _thin = f"[{INVISIBLE}{_mark}]"
 _is = {"latin": re.compile(f"[{_latin}]"), "cyrillic": re.compile(f"[{_cyrillic}]"), "greek": re.compile(f"[{_greek}]")}
 _mixed = re.compile(f"[{_latin}]{_thin}*[{_cyrillic}{_greek}]|[{_cyrillic}]{_thin}*[{_latin}{_greek}]|[{_greek}]{_thin}*[{_latin}{_cyrillic}]")
 _letters = re.compile(f"[{_latin}{_cyrillic}{_greek}{_mark}{INVISIBLE}]+")
+#: Look-alike letters that everyday alphabets do not have: in a word of look-alikes only, they tell of another script.
+_RARE = "".join(sorted((set(CYRILLIC) | set(GREEK)) - COMMON))
+_rare = re.compile(f"[{_RARE}]")
 _foreign = re.compile(f"[{_cyrillic}{_greek}]")
 _emoji = re.compile("[\U0001f000-\U0001faff☀-➿️⃣↔-⇿⬀-⯿]")
 _virama = re.compile("[्্੍્୍்్್്්᯲]")
@@ -118,7 +121,7 @@ def may_change(value: Column) -> Column:
     """Whether a value can be a case at all, told without Python: a suspect character, or letters of two of the scripts that share shapes."""
     latin, cyrillic, greek = (value.rlike(f"[{x}]") for x in (_latin, _cyrillic, _greek))
     either = value.rlike(f"[{_cyrillic}{_greek}]")
-    return value.rlike(r"[^\x00-\x7f]") & (value.rlike(f"[{_coarse()}]") | (either & (latin | (cyrillic & greek))))
+    return value.rlike(r"[^\x00-\x7f]") & (value.rlike(f"[{_coarse()}]") | (either & (value.rlike(f"[{_RARE}]") | latin | (cyrillic & greek))))
 
 
 @dataclass
@@ -241,7 +244,7 @@ class Rewriter:
 
     def _scripts(self, text: str) -> str:
         """Letters of look-alike scripts to the script of their word."""
-        if not _foreign.search(text) or not _is["latin"].search(text) and not _mixed.search(text):
+        if not _foreign.search(text) or not (_is["latin"].search(text) or _rare.search(text) or _mixed.search(text)):
             return text
         votes = {"latin": 0, "cyrillic": 0, "greek": 0}
         words = [(m.start(), m.group(), self._votes(m.group())) for m in _letters.finditer(text)]
@@ -259,6 +262,8 @@ class Rewriter:
                 around = max(votes, key=lambda s: votes[s])
                 if votes[around] and (len(present) > 1 or not any(votes[s] for s in present)) and all(around in self.best[self.by[c]] for c in word if c in self.by and script(c)):
                     own = around
+                elif len(present) == 1 and not any(votes.values()) and len(word) > 2 and _rare.search(word):
+                    own = "latin"
                 elif len(present) == 1:
                     continue
             elif len(present) == 1:

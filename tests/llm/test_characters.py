@@ -26,6 +26,8 @@ FORM = lookalike.Rewriter().form
         ("Lоgіn", "Login"),
         ("Новoсти", "Новости"),
         ("Μikrο text", "Mikro text"),
+        ("Аіԁе", "Aide"),
+        ("Іnісіо", "Inicio"),
     ],
 )
 def test_forms(dirty, clean):
