@@ -82,7 +82,7 @@ class Compiler:
             case ("step", *_):
                 return self.path("", [("", t)], ctx)
             case ("paren", None):
-                return replace(ctx, df=ctx.df.filter(F.lit(False)))
+                return replace(ctx, df=ctx.df.filter(F.lit(False)), top=False, full=False)
             case ("paren", e):
                 return self.seq(e, ctx)
             case ("seq", items):
@@ -94,12 +94,12 @@ class Compiler:
                 for op, e in items[1:]:
                     right = self.seq(e, ctx)
                     on = [*left.keys, "node_id"]
-                    left = self.distinct(replace(left, df=left.df.join(right.df.select(*on), on, "left_semi" if op == "intersect" else "left_anti")))
+                    left = self.distinct(replace(left, df=left.df.join(right.df.select(*on), on, "left_semi" if op == "intersect" else "left_anti"), top=False))
                 return left
             case ("call", "fn:root" | "root", _):
                 up = ctx.df.select(*ctx.keys).distinct()
                 docs = self.documents().df
-                return Seq(up.join(docs, "doc_id"), ctx.keys, True, ctx.keys == ["doc_id"])
+                return Seq(up.join(docs, "doc_id"), ctx.keys, True, ctx.top and ctx.full)
             case ("treat", e, ty):
                 return self.treat(self.seq(e, ctx), ty, ctx)
             case ("if", test, a, b):
@@ -235,7 +235,7 @@ class Compiler:
         if here.top and here.keys == ["doc_id"] and axis in ("child", "descendant", "descendant-or-self", "self"):
             # the document is node 0: its children and descendants are a plain scan
             part = {"child": "parent_id = 0 and node_id > 0", "descendant": "node_id > 0", "descendant-or-self": "node_id >= 0", "self": "node_id = 0"}[axis]
-            return Seq(n.filter(part).withColumn("from_id", F.lit(0)), ["doc_id"], True, axis == "self")
+            return Seq(n.filter(part).withColumn("from_id", F.lit(0)), ["doc_id"], True, axis == "self" and test[:2] in (("kind", "node"), ("kind", "document-node")))
         if axis == "namespace":
             return replace(here, df=here.df.select(*here.keys, *NODE).withColumn("from_id", F.lit(0)).filter(F.lit(False)), top=False)
         if axis == "self":

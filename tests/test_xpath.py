@@ -88,6 +88,7 @@ def run(nodes, page, expression, **options):
         ("F2", "//p[(1,1)]", 2), ("F12", "/html[@id>1]", 1), ("F12", "/html[@id=1]", 0), ("F1", "/html[1=1.0]", 0), ("F2", "//div[not(p)]", 0), ("F2", "//p[text()='5']/following-sibling::p", 1),
         ("F2", "//div ! p[1]", 2), ("F2", "//nothing", 0), ("F2", "//comment()", 0), ("F2", "//html/parent::div", 0), ("F2", "//p[last()]", 2), ("F2", "//p[position()=last()-1]", 2),
         ("F2", "//p[.='2' or .='6']", 2), ("F2", "if (//q) then //div else //p", 6), ("F2", "/html/body/div/p[1][text()='1']", 1),
+        ("F2", "()/p", 0), ("F2", "(/ intersect //p)//p", 0), ("F2", "/self::p//p", 0), ("F2", "/self::node()//p", 6), ("F2", "/html/body/fn:root()/html", 1), ("F1", "//p/fn:root()/html", 0),
     ],
 )
 def test_counts(nodes, page, expression, n):
