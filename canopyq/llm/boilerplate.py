@@ -7,6 +7,7 @@ are deleted; the text nodes that remain are the main body.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.llm import residue
-from canopyq.llm.lookalike import Rewriter
+from canopyq.llm.lookalike import rewriter
 from canopyq.session import cut
 
 #: Pages of a host, or hosts, over which a subtree must recur to be a template.
@@ -57,10 +58,20 @@ class Reader:
     """Reads pages; keeps what it made of texts that recur."""
 
     def __init__(self):
-        self.form = Rewriter().form
+        self.rewrite = rewriter().form
+        self.forms: dict[str, str] = {}
         self.masks: dict[str, str] = {}
         self.residues: dict[str, bool] = {}
 
+    def form(self, text: str) -> str:
+        if text.isascii():
+            return text
+        if (f := self.forms.get(text)) is None:
+            if len(self.forms) > 50_000:
+                self.forms.clear()
+            f = self.forms[text] = self.rewrite(text)
+        return f
+
     def mask(self, text: str) -> str:
         if (m := self.masks.get(text)) is None:
             if len(self.masks) > 100_000:
@@ -209,12 +220,18 @@ class Reader:
         return out
 
 
+@functools.cache
+def _reader() -> Reader:
+    """One reader for each Python worker."""
+    return Reader()
+
+
 _SCHEMA = "doc_id long, site string, hashes array<array<long>>, texts array<struct<node_id:int, block:int>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by doc_id and node_id; a page may go on in the next batch. A page delivered again has its rows twice."""
-    reader = Reader()
+    reader = _reader()
     doc, site, rows = None, None, []
     out: list[tuple] = []
 

@@ -19,16 +19,16 @@ def lookalike_nodes(nodes: DataFrame) -> DataFrame:
     cases, nor are values of an empty table.
     """
     values = nodes.filter("kind in ('text', 'attribute') and value is not null").select("doc_id", "node_id", "kind", "value")
-    counts = values.sparkSession.sparkContext.broadcast(lookalike.member_counts(values.select("value")))
+    counts = values.sparkSession.sparkContext.broadcast(tuple(sorted(lookalike.member_counts(values.select("value")).items())))
     pairs = mojibake.corpus_counts(values.filter("kind = 'text'").select("value"))
     table = values.sparkSession.sparkContext.broadcast(pairs.astype(np.float32).tobytes())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rewriter = lookalike.Rewriter(counts.value)
-        repairer = mojibake.Repairer(np.frombuffer(table.value, dtype=np.float32))
+        rewrite = lookalike.rewriter(counts.value).form
+        garbled = mojibake.repairer(table.value).garbled
         for f in frames:
-            form = [rewriter.form(t) for t in f["value"]]
-            found = [new != old and (kind == "attribute" or not repairer.garbled(old)) for new, old, kind in zip(form, f["value"], f["kind"], strict=True)]
+            form = [rewrite(t) for t in f["value"]]
+            found = [new != old and (kind == "attribute" or not garbled(old)) for new, old, kind in zip(form, f["value"], f["kind"], strict=True)]
             yield f[["doc_id", "node_id"]].assign(form=form)[found]
 
     # a page delivered again has the same rows: the few candidates are made unique, not the table

@@ -99,9 +99,9 @@ def _all_suspects() -> frozenset[str]:
 
 
 @functools.cache
-def suspects() -> str:
-    """A character class of the suspects."""
-    return _ranges(sorted(map(ord, _all_suspects())))
+def suspects(low: int = 0, high: int = sys.maxunicode + 1) -> str:
+    """A character class of the suspects between two code points."""
+    return _ranges(sorted(k for k in map(ord, _all_suspects()) if low <= k < high))
 
 
 @functools.cache
@@ -151,6 +151,7 @@ class Classes:
         return [sorted(m) for m in by.values()]
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def script(s: str) -> str:
     """The script of a member of a class, or "" where it belongs to none of the three that share letters."""
     for name, pattern in _is.items():
@@ -190,6 +191,7 @@ class Rewriter:
         self.best: list[dict[str, str]] = []
         self.automaton = ahocorasick.Automaton()
         self.by: dict[str, int] = {}
+        self.own: dict[str, str | None] = {}
         for k, members in enumerate(classes()):
             best: dict[str, str] = {}
             for m in sorted(members, key=usual):
@@ -199,7 +201,9 @@ class Rewriter:
                 self.by[m] = k
                 self.automaton.add_word(m, (k, len(m)))
         self.automaton.make_automaton()
-        self.single = re.compile(f"[{suspects()}]")
+        # a class within the first plane is a bitmap; with others it would be tried range by range
+        self.single = re.compile(f"[{suspects(0, 0x10000)}]")
+        self.beyond = re.compile(f"[{suspects(0x10000)}]")
 
     def form(self, text: str) -> str:
         """The text in its one form."""
@@ -207,7 +211,7 @@ class Rewriter:
             return text
         for _ in range(4):  # a rewritten word can tell the script of its neighbours
             new = text
-            if self.single.search(new):
+            if self.single.search(new) or (max(new, default="") > "\uffff" and self.beyond.search(new)):
                 new = unicodedata.normalize("NFC", self._spelled(self._shown(new)))
             new = self._scripts(new)
             if new == text:
@@ -278,11 +282,17 @@ class Rewriter:
         """Letters of a word that only one script can show."""
         v = {"latin": 0, "cyrillic": 0, "greek": 0}
         for c in word:
-            s = script(c)
-            if s and c not in CYRILLIC and c not in GREEK and not self._twin(c):
+            if (s := self._own(c)) is not None:
                 v[s] += 1
         return v
 
+    def _own(self, c: str) -> str | None:
+        """The script of a letter that no other script can show."""
+        if c not in self.own:
+            s = script(c)
+            self.own[c] = s if s and c not in CYRILLIC and c not in GREEK and not self._twin(c) else None
+        return self.own[c]
+
 
     def _twin(self, c: str) -> bool:
         """Whether a Latin letter shows as a letter of another everyday alphabet."""
@@ -290,6 +300,12 @@ class Rewriter:
         return k is not None and any(m in COMMON for m in self.best[k].values())
 
 
+@functools.lru_cache(maxsize=2)
+def rewriter(counts: tuple[tuple[str, int], ...] = ()) -> Rewriter:
+    """A rewriter by these counts, made once in each Python worker."""
+    return Rewriter(dict(counts))
+
+
 _space = re.compile(f"[{SPACES}]")
 
 
@@ -349,13 +365,13 @@ def consistent(values: DataFrame, keep: list[str], value: str, counts: dict[str,
     if counts is None:
         counts = member_counts(values.select(F.col(value).alias("v")).filter("v is not null"))
     # one row per member of a class at most: some 20 000
-    shared = values.sparkSession.sparkContext.broadcast(counts)
+    shared = values.sparkSession.sparkContext.broadcast(tuple(sorted(counts.items())))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rewriter = Rewriter(shared.value)
+        form = rewriter(shared.value).form
         for f in frames:
             old = f[f.columns[-1]].tolist()
-            f = f.iloc[:, :-1].assign(form=[rewriter.form(t) for t in old])
+            f = f.iloc[:, :-1].assign(form=[form(t) for t in old])
             yield f[[a != b for a, b in zip(old, f["form"], strict=True)]] if only_changed else f
 
     rows = values.select(*keep, F.col(value).alias("__v"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyq.llm.lookalike import Rewriter
+from canopyq.llm.lookalike import rewriter
 
 #: Elements whose text is never a case.
 CODE_ELEMENTS = ("script", "style", "pre", "code")
@@ -168,7 +168,7 @@ def whole(text: str) -> str:
 
 
 def _classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    form = Rewriter().form
+    form = rewriter().form
     for f in frames:
         kinds = [whole(form(t)) for t in f["value"]]
         yield f.drop(columns="value").assign(kind=kinds)[[k != "" for k in kinds]]
