@@ -110,6 +110,10 @@ def test_joins_of_a_partitioned_table_add_no_shuffle(spark, nodes):
         plan = api.find(kept, "//p/b", ordered=False)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan.split("InMemoryRelation")[0]
         kept.unpersist()
+        pages.save_nodes(nodes, "saved_nodes", buckets=4, mode="overwrite")
+        found = api.find(spark.table("saved_nodes"), "//p/b", ordered=False)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == api.find(nodes, "//p/b").count() == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
