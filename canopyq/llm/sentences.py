@@ -190,7 +190,8 @@ def _events(text: str, low: int, high: int, out: list[tuple[str, int, int]]) ->
         elif ch == '"':
             if not (a and text[a - 1].isdigit()):
                 closes = a > 0 and not text[a - 1].isspace() and text[a - 1] not in "([{（" and (z >= len(text) or not text[z].isalnum())
-                found.append(("e" if closes else "Q", a, z))
+                if closes or _opens(text, a, ch):
+                    found.append(("e" if closes else "Q", a, z))
         elif ch in "”»」』":
             found.append(("e", a, z))
         elif ch in ")]}）】":
