@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyq.plans.compiler import ATOMIC_RANK, NODE, TYPE_NAMES, Compiler, Seq, as_text
-from canopyq.xpath import parser
+from canopyq.plans.compiler import ATOMIC_RANK, NODE, TYPE_NAMES, Compiler, Seq, UnsupportedError, as_text
+from canopyq.xpath import constant, parser
 
 MODES = ("FAILFAST", "PERMISSIVE")
 #: Columns of a result; item_type is an atomic type, and null for nodes.
@@ -25,7 +25,23 @@ def _check(mode: str) -> None:
         raise ValueError(f"mode is one of {MODES}")
 
 
+def _constant(t: tuple, ctx: Seq, keys: list[str]) -> DataFrame | None:
+    """The rows of an expression that reads no document: the same items for each context."""
+    try:
+        items = constant.unique(constant.evaluate(t, {}))
+    except constant.NotConstant:
+        return None
+    if not all(map(constant.is_atomic, items)):
+        raise UnsupportedError("arrays, maps and functions are no results")
+    fields = "array<struct<value:string,item_type:string>>"
+    values = F.array(*[F.struct(F.lit(constant.text(i)).alias("value"), F.lit(TYPE_NAMES[i[0]]).alias("item_type")) for i in items]).cast(fields)
+    row = [F.lit(ATOMIC_RANK).cast("byte").alias("kind_rank"), F.lit(None).cast("int").alias("node_id"), F.lit("atomic").alias("kind"), F.lit(None).cast("string").alias("name")]
+    return ctx.df.select(*keys, *row, F.inline(values))
+
+
 def _run(c: Compiler, t: tuple, ctx: Seq, keys: list[str]) -> DataFrame:
+    if (fixed := _constant(t, ctx, keys)) is not None:
+        return fixed
     if c.gives_nodes(t):
         out = c.distinct(c.seq(t, ctx)).df
         return out.select(*keys, "kind_rank", "node_id", "kind", "name", "value", F.lit(None).cast("string").alias("item_type"))

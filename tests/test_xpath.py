@@ -104,6 +104,25 @@ def test_values(nodes):
     assert [r.value for r in run(nodes, "F2", "2 * 1.5")] == ["3"]
 
 
+@pytest.mark.parametrize(
+    ("expression", "want"),
+    [
+        ("1 to 3", ["1", "2", "3"]), ("for $x in 1 to 3 return $x * 2", ["2", "4", "6"]), ("for $x in 1 to 2, $y in 1 to 2 return $x + $y", ["2", "3", "4"]), ("let $f := function($x) { $x + 1 } return $f(2)", ["3"]),
+        ("[1, 'a']?2", ["a"]), ("map { 'k' : 5 }?k", ["5"]), ("array { 1 to 3 }?*", ["1", "2", "3"]), ("'ab' => upper-case()", ["AB"]), ("(concat#2)('a', 'b')", ["ab"]), ("7 idiv 2, 7 mod 2", ["1", "3"]),
+        ("some $x in 1 to 3 satisfies $x > 2", ["true"]), ("every $x in 1 to 3 satisfies $x > 2", ["false"]), ("1 = 1.0", ["false"]), ("1 eq 1.0", ["true"]), ("'x' castable as xs:integer", ["false"]), ("'5' cast as xs:integer", ["5"]),
+        ("if (1 > 2) then 'a' else 'b'", ["b"]), ("(5, 6, 7)[2]", ["6"]), ("()", []), ("-(3)", ["-3"]), ("0.1 + 0.2", ["0.3"]), ("1 div 4", ["0.25"]),
+    ],
+)
+def test_expressions_without_a_document(nodes, expression, want):
+    assert sorted(r.value for r in run(nodes, "F1", expression)) == sorted(want)
+
+
+@pytest.mark.parametrize("expression", ["1 div 0", "1 to 9999999", "(1, 2) + 1", "'x' cast as xs:integer"])
+def test_errors_without_a_document(nodes, expression):
+    with pytest.raises(ValueError):
+        api.find(nodes, expression)
+
+
 def test_elements_sort_before_texts_before_attributes(nodes):
     assert [r.kind for r in run(nodes, "F5", "//@class, //text(), //div")] == ["element", "element", "text", "text", "attribute"]
 
