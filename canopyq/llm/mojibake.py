@@ -43,8 +43,7 @@ ASSUMED_WIDE = ("gb18030", "cp932", "euc_kr", "big5")
 
 _UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
 _utf8_bytes = re.compile(_UTF8)
-_utf8_one = re.compile(rb"[\xe1-\xef][\x80-\xbf]{2}")
-_utf8_two = re.compile(rb"(?:[\xe1-\xef][\x80-\xbf]{2}){2}")
+_utf8_cut = re.compile(rb"[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]?|[\xf0-\xf4][\x80-\xbf]{0,2}")
 #: Signs that an original is lost: replacement characters, also when these were decoded wrongly in turn, and control characters.
 LOST = re.compile("[\ufffd\x80-\x84\x86-\x9f]|锟斤|斤拷|ï¿½|пїЅ|∩┐╜|´┐¢|ÔøΩ|я┐╜|嚙踝|占쏙")
 _word = re.compile(r"[^ \n\t]+")
@@ -112,6 +111,22 @@ class Pairs(dict):
         return value
 
 
+class Codes(dict):
+    """Bytes of a character in an East Asian encoding; a byte that is in no UTF-8 where it has none of one or two bytes."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def __missing__(self, c: str) -> bytes:
+        try:
+            b = c.encode(self.name)
+        except UnicodeEncodeError:
+            b = b"\xff"
+        # no UTF-8 is read as a four-byte character of GB18030: its third byte would stand alone
+        self[c] = b = b"\xff" if self.name == "gb18030" and len(b) == 4 else b
+        return b
+
+
 class Repairer:
     """Repairs texts by the pair counts of a corpus. Tokens are remembered, as a corpus repeats them.
 
@@ -122,6 +137,7 @@ class Repairer:
         total = max(1.0, float(counts.sum()) / 2)
         first, second = counts[:CELLS], counts[CELLS:]
         self.pairs = Pairs([np.log((x + 0.3) / total) for x in (first, second)])
+        self.unseen = -math.log(0.3 / total)
         ordered = np.sort(first[first > 0])[::-1].astype(np.float64)
         # the count from which up pairs hold most of the corpus: a sound reading has such pairs
         mass = np.cumsum(ordered)
@@ -134,6 +150,7 @@ class Repairer:
         # most texts have no pair at all that could begin such a span in any of the encodings
         lead, cont = ("[" + re.escape("".join(sorted({c for _, t, _ in self.assumed for c, b in t.items() if a <= b <= z}))) + "]" for a, z in ((0xC2, 0xF4), (0x80, 0xBF)))
         self.may_start = re.compile(lead + cont)
+        self.codes = {n: Codes(n) for n in ASSUMED_WIDE}
         self.wide = {n: re.compile(b"(?:" + p + b"|[\x00-\x7f])+") for n, p in WIDE.items()}
 
     def likely(self, text: str) -> float:
@@ -143,16 +160,18 @@ class Repairer:
 
     def gain(self, left: str, old: str, new: str, right: str, margin: float) -> float:
         """By how much a reading beats the text as it stands and in its usual form; 0 if not by the margin, or if it is no text itself."""
-        n = len(new) + 1
+        n = len(left) + len(new) + len(right) - 1
+        if n < 1:
+            return 0.0  # no neighbours that could tell
         value = self.likely(left + new + right)
         gain = value - self.likely(left + old + right)
         if gain <= margin or value < self.common * n or LOST.search(new):
             return 0.0
         usual = self.form(old)
         if usual != old:
-            m = len(usual) + 1
+            m = len(left) + len(usual) + len(right) - 1
             same = self.likely(left + usual + right)
-            if same / m > value / n - 1.0:
+            if m and same / m > value / n - 1.0:
                 return 0.0
         return gain
 
@@ -278,29 +297,35 @@ class Repairer:
         """UTF-8 that was read as an East Asian encoding."""
         best, most = text, 0.0
         for name in ASSUMED_WIDE:
-            # a quick look at the bytes first: a character of three bytes, in longer texts two side by side
-            if not (_utf8_one if len(text) < 40 else _utf8_two).search(text.encode(name, "replace")):
+            # what cannot be encoded is "?" here and a break below, so no span is missed
+            if not _utf8_bytes.search(text.encode(name, "replace")):
                 continue
-            data, owner = bytearray(), []
-            for k, c in enumerate(text):
-                try:
-                    b = c.encode(name)
-                except UnicodeEncodeError:
-                    b = b"\xff"
-                if name == "gb18030" and len(b) == 4:
-                    b = b"\xff"
-                data += b
-                owner += [k] * len(b)
+            code = self.codes[name]
+            pieces = [code[c] for c in text]
+            data = b"".join(pieces)
+            if not (spans := [m.span() for m in _utf8_bytes.finditer(data)]):
+                continue
+            owner = [k for k, b in enumerate(pieces) for _ in b]
             parts, at, total = [], 0, 0.0
-            for m in _utf8_bytes.finditer(bytes(data)):
-                a, z = owner[m.start()], owner[m.end() - 1] + 1
-                if a < at or z - a < 2:
+            for i, j in spans:
+                a, z = owner[i], owner[j - 1] + 1
+                if a < at:
                     continue
-                new = m.group().decode("utf-8")
+                new = data[i:j].decode("utf-8")
+                # a sequence that breaks off before a lost sign goes with that sign
+                if (cut := _utf8_cut.match(data, j)) and cut.end() < len(data) and text[owner[cut.end()]] == "\ufffd":
+                    j, z = cut.end(), owner[cut.end()]
                 left, right = text[a - 1 : a] or "\n", text[z : z + 1] or "\n"
-                gain = self.gain(left, text[a:z], new, right, MARGIN + MARGIN_EACH * len(new)) if right != "\ufffd" and left != "\ufffd" else self.gain(new[0], text[a + 1 : z], new[1:], new[-1], MARGIN)
+                # bytes of the outer characters that are not in the span: ASCII stands for itself, others have lost their original
+                before = i > 0 and owner[i - 1] == a and left != "\ufffd"
+                rest = data[j : j + 1] if j < len(data) and owner[j] == z - 1 else b""
+                tail = rest.decode() if rest.isascii() else ""
+                after = bool(rest) and not tail and right != "\ufffd"
+                # a lost sign tells nothing as a neighbour; one that the reading itself makes counts as a pair that is in no text
+                margin = MARGIN + MARGIN_EACH * len(new) + (before + after) * self.unseen
+                gain = self.gain(left.strip("\ufffd"), text[a:z], new + tail, right.strip("\ufffd"), margin)
                 if gain:
-                    parts += [text[at:a], new]
+                    parts += [text[at:a], "\ufffd" * before, new, tail, "\ufffd" * after]
                     at, total = z, total + gain
             if total > most:
                 best, most = "".join(parts) + text[at:], total

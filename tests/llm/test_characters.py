@@ -87,6 +87,25 @@ def test_other_pairs_are_restored(repairer, k, meant, assumed):
     assert repairer.repair(CLEAN[k].encode(meant).decode(assumed)) == CLEAN[k]
 
 
+MORE = ["It’s a long sentence about the harbour – and it’s one that nobody has read before", "Привет, как дела", "καλημέρα", "für Größe", "שלום לכולם"]
+
+
+@pytest.fixture(scope="module")
+def more():
+    return mojibake.Repairer(mojibake.pair_counts([*CLEAN, *MORE, *(f"{t} plain words " for t in MORE)] * 400).astype(np.float32))
+
+
+@pytest.mark.parametrize("assumed", ["gb18030", "cp932", "big5", "euc_kr"])
+@pytest.mark.parametrize("text", MORE)
+def test_utf8_read_as_east_asian_is_restored_at_every_length(more, text, assumed):
+    try:
+        garbled = text.encode().decode(assumed)
+    except UnicodeDecodeError:
+        pytest.skip("not all bytes have a character")
+    assert garbled != text and more.repair(garbled) == text
+    assert more.repair(f"{garbled} {'plain words ' * 9}") == f"{text} {'plain words ' * 9}"
+
+
 def test_sound_texts_stay(repairer):
     for text in [*CLEAN, "", "ascii", "€ 24,90", "4 × 6 cm", "±3 °C", "Ângela", "Þór", "Lоgіn", "Ｈｏｍｅ"]:
         assert repairer.repair(text) == text and not repairer.garbled(text)
