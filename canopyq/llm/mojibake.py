@@ -28,13 +28,13 @@ _SHIFT = 12
 
 #: Encodings wrongly assumed, one byte per character. "latin" takes what windows-1252 and ISO 8859-1 make of a byte.
 ASSUMED = ("latin", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "iso8859_2")
-#: Encodings meant, two bytes per character, and the structure of such a character.
+#: Encodings meant, several bytes per character, and the structure of a character that is not ASCII.
 WIDE = {
-    "cp932": rb"[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]",
+    "cp932": rb"[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]",
     "euc_kr": rb"[\xa1-\xfe][\xa1-\xfe]",
-    "gb18030": rb"[\x81-\xfe][\x40-\x7e\x80-\xfe]",
+    "gb18030": rb"[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x81-\xfe][\x30-\x39][\x81-\xfe][\x30-\x39]",
     "big5": rb"[\xa1-\xf9][\x40-\x7e\xa1-\xfe]",
-    "euc_jp": rb"[\xa1-\xfe][\xa1-\xfe]",
+    "euc_jp": rb"[\xa1-\xfe][\xa1-\xfe]|\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe][\xa1-\xfe]",
 }
 #: Encodings meant, one byte per character.
 NARROW = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp857", "cp866", "mac_roman", "koi8_r", "iso8859_2", "cp1256", "cp737", "iso8859_5", "cp874")
@@ -46,11 +46,12 @@ _utf8_bytes = re.compile(_UTF8)
 _utf8_cut = re.compile(rb"[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]?|[\xf0-\xf4][\x80-\xbf]{0,2}")
 #: Signs that an original is lost: replacement characters, also when these were decoded wrongly in turn, and control characters.
 LOST = re.compile("[\ufffd\x80-\x84\x86-\x9f]|锟斤|斤拷|ï¿½|пїЅ|∩┐╜|´┐¢|ÔøΩ|я┐╜|嚙踝|占쏙")
-_word = re.compile(r"[^ \n\t]+")
+#: A run of characters that a codepage can show, without spaces.
+_word = re.compile("[\x00-\x08\x0b-\x1f!-\u052f\u2010-\u2122\u2190-\u25ff\ufb01\ufb02]+")
 _high = re.compile(r"[^\x00-\x7f]")
-#: Characters that a codepage can show; a token of others is read as it stands.
+_ASCII = "".join(map(chr, range(128)))
+#: Characters that a codepage can show.
 _narrow_high = re.compile("[\x80-\u052f\u2010-\u2122\u2190-\u25ff\u02c6-\u02dd\ufb01\ufb02]")
-_narrow_only = re.compile("[\x00-\u052f\u2010-\u2122\u2190-\u25ff\ufb01\ufb02]+")
 _wide_high = re.compile("[\u3000-\u9fff\uac00-\ud7a3\ufa00-\uffef]")
 #: Signs that texts use by themselves, away from letters.
 _signs_alone = re.compile("[\x00-@\\[-`{-\x7f€£¥×±°§©®™½¼¾²³¹№…–—“”‘’„«»•·÷→←↑↓ªº]*")
@@ -151,7 +152,7 @@ class Repairer:
         lead, cont = ("[" + re.escape("".join(sorted({c for _, t, _ in self.assumed for c, b in t.items() if a <= b <= z}))) + "]" for a, z in ((0xC2, 0xF4), (0x80, 0xBF)))
         self.may_start = re.compile(lead + cont)
         self.codes = {n: Codes(n) for n in ASSUMED_WIDE}
-        self.wide = {n: re.compile(b"(?:" + p + b"|[\x00-\x7f])+") for n, p in WIDE.items()}
+        self.wide = {n: (re.compile(b"(?:" + p + b")(?:" + p + b"|[\x00-\x7f])*"), re.compile(b"(?:" + p + b"|[\x00-\x7f])")) for n, p in WIDE.items()}
 
     def likely(self, text: str) -> float:
         """Log likelihood of the pairs of neighbouring characters."""
@@ -250,36 +251,79 @@ class Repairer:
         table = next(t for n, t, _ in self.assumed if n == assumed)
         parts, at = [], 1
         for start, end in found:
-            try:
-                new = bytes(table[c] for c in padded[start:end]).decode(meant)
-            except (KeyError, UnicodeDecodeError):
-                continue
-            # with one token of the text sure, the rest need only read better
-            if self.likely(padded[start - 1] + new + padded[end]) > self.likely(padded[start - 1 : end + 1]):
-                parts += [padded[at:start], new]
-                at = end
+            for a, z, new in self._spans(padded[start:end], table, meant):
+                a, z = start + a, start + z
+                # with one span of the text sure, the rest need only read better
+                if self.likely(padded[a - 1] + new + padded[z]) > self.likely(padded[a - 1 : z + 1]):
+                    parts += [padded[at:a], new]
+                    at = z
         return "".join(parts) + padded[at:-1]
 
+    def _spans(self, token: str, table: dict[str, int], meant: str) -> Iterator[tuple[int, int, str]]:
+        """Start, end and reading of what a token holds in an encoding: the whole token in one of one byte per character, else its maximal well-formed spans."""
+        if meant in self.wide:
+            yield from self._wide_spans(token, table, bytes([table.get(c, 0xFF) for c in token]), meant)
+            return
+        try:
+            yield 0, len(token), bytes([table[c] for c in token]).decode(meant)
+        except (KeyError, UnicodeDecodeError):
+            pass
+
+    def _wide_spans(self, token: str, table: dict[str, int], data: bytes, meant: str) -> Iterator[tuple[int, int, str]]:
+        spans, one = self.wide[meant]
+        broken = [k for k, c in enumerate(token) if c not in table] if b"\xff" in data else []
+        for low, high in zip([0, *(k + 1 for k in broken)], [*broken, len(data)], strict=True):
+            for m in spans.finditer(data, low, high):
+                a, z = m.span()
+                while a < z:
+                    try:
+                        a, k, new = z, a, data[a:z].decode(meant)
+                        end = z
+                    except UnicodeDecodeError as e:
+                        # well formed but no character: the span goes on after it
+                        end, k = a + e.start, a
+                        new, a = data[k:end].decode(meant), one.match(data, end).end()
+                    if not new.isascii():
+                        yield k, end, new
+
     def _readings(self, left: str, token: str, right: str) -> list[tuple[str, float]]:
         """Pairs of encodings in which a token reads far better, with the gain."""
-        if not _narrow_only.fullmatch(token) or _signs_alone.fullmatch(token) or len(token) < 3 and token.isalpha():
+        if _signs_alone.fullmatch(token) or len(token) < 3 and token.isalpha():
             return []  # signs and single letters by themselves tell too little
         whole = left + token + right
-        old = self.likely(whole)
         if min(self.likely(a + b) for a, b in zip(whole, whole[1:], strict=False)) >= self.frequent:
             return []
         out, n_high, seen = [], len(_high.findall(token)), set()
+        before: dict[tuple[int, int], float] = {}
+
+        def better(a: int, z: int, new: str, margin: float) -> float:
+            """The gain of a reading of token[a:z]."""
+            if (old := before.get((a, z))) is None:
+                old = before[a, z] = self.likely(whole[a : z + 2])
+            return self.gain(whole[a], token[a:z], new, whole[z + 1], margin) if self.likely(whole[a] + new + whole[z + 1]) - old > margin else 0.0
+
         for assumed, table, _ in self.assumed:
-            try:
-                data = bytes([table[c] for c in token])
-            except KeyError:
-                continue
+            data = bytes([table.get(c, 0xFF) for c in token])
             if data in seen:
                 continue  # most encodings agree on most bytes
             seen.add(data)
-            for name in (*(WIDE if n_high > 1 else ()), *NARROW):
-                if name in self.wide and not self.wide[name].fullmatch(data):
-                    continue
+            for name in WIDE if n_high > 1 else ():
+                total = 0.0
+                for a, z, new in self._wide_spans(token, table, data, name):
+                    if z - a < 2 or (a, new) in seen:
+                        continue
+                    seen.add((a, new))
+                    if len(_high.findall(token[a:z])) < 2:
+                        continue
+                    # ASCII around it is read with it; a neighbour that is left over counts as a pair that is in no text
+                    b, e = len(token[:a].rstrip(_ASCII)), len(token) - len(token[z:].lstrip(_ASCII))
+                    margin = MARGIN + MARGIN_EACH * len(new) + ((b > 0) + (e < len(token))) * self.unseen
+                    total += better(b, e, token[b:a] + new + token[z:e], margin)
+                if total:
+                    out.append((f"{assumed} {name}", total))
+            if b"\xff" in data and any(c not in table for c in token):
+                continue
+            for name in NARROW:
                 try:
                     new = data.decode(name)
                 except UnicodeDecodeError:
@@ -287,9 +331,8 @@ class Repairer:
                 if new == token or new in seen:
                     continue
                 seen.add(new)
-                changed = len(new) if name in self.wide else sum(a != b for a, b in zip(new, token, strict=True))
-                margin = MARGIN + (MARGIN_EACH if name in self.wide else MARGIN_NARROW) * changed
-                if self.likely(left + new + right) - old > margin and (gain := self.gain(left, token, new, right, margin)) > 0:
+                changed = sum(x != y for x, y in zip(new, token, strict=True))
+                if gain := better(0, len(token), new, MARGIN + MARGIN_NARROW * changed):
                     out.append((f"{assumed} {name}", gain))
         return out
 

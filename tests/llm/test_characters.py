@@ -106,6 +106,33 @@ def test_utf8_read_as_east_asian_is_restored_at_every_length(more, text, assumed
     assert more.repair(f"{garbled} {'plain words ' * 9}") == f"{text} {'plain words ' * 9}"
 
 
+@pytest.fixture(scope="module")
+def spaceless():
+    rng = random.Random(3)
+    texts = [t.replace(" ", "") for t in CLEAN[4:7]]
+    texts.append(texts[0].encode("big5", "ignore").decode("big5"))
+    texts.append(texts[1].encode("euc_jp", "ignore").decode("euc_jp"))
+    rare = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000))  # a corpus has rare pairs
+    return mojibake.Repairer(mojibake.pair_counts([*texts * 400, rare]).astype(np.float32))
+
+
+@pytest.mark.parametrize(("k", "meant"), [(4, "gb18030"), (4, "big5"), (5, "cp932"), (5, "euc_jp"), (6, "euc_kr")])
+def test_spans_beside_what_does_not_fit_are_restored(spaceless, k, meant):
+    clean = CLEAN[k].replace(" ", "").encode(meant, "ignore").decode(meant)
+    data = clean.encode(meant)
+    assert spaceless.repair(data.decode("latin-1")) == clean
+    cut = spaceless.repair((data + data[:1]).decode("latin-1"))
+    assert cut.startswith(clean[:-1]) and spaceless.garbled((data + data[:1]).decode("latin-1"))
+    assert spaceless.repair(data.decode("latin-1") + "😀") == clean + "😀"
+    assert spaceless.repair("园" + data.decode("latin-1")) == "园" + clean
+
+
+def test_half_width_and_four_byte_characters_do_not_stop_a_span(spaceless):
+    zh, one = (t.replace(" ", "") for t in CLEAN[4:6])
+    for text, meant in ((f"{one}ｱ{one}", "cp932"), (f"{zh}\U00020000{zh}", "gb18030")):
+        assert spaceless.repair(text.encode(meant).decode("latin-1")) == text
+
+
 def test_sound_texts_stay(repairer):
     for text in [*CLEAN, "", "ascii", "€ 24,90", "4 × 6 cm", "±3 °C", "Ângela", "Þór", "Lоgіn", "Ｈｏｍｅ"]:
         assert repairer.repair(text) == text and not repairer.garbled(text)
