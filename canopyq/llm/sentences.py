@@ -9,7 +9,7 @@ starting state.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 LONG_CHARS, CHUNK_CHARS = 16384, 8192
 #: Characters around a chunk in which its rules may look.
 CONTEXT = 2048
-#: Characters within which a bracket or quote must close to count as open, and a line's beginning is looked for.
-REACH, LINE_REACH = 600, 1000
+#: Characters within which a bracket or quote must close to count as open.
+REACH = 600
+#: Kinds of lines.
+PLAIN, BLANK, LISTED = 0, 1, 2
 
 # Abbreviations after which a sentence goes on.
 GOES_ON = frozenset(
@@ -88,7 +90,8 @@ def _list_line(text: str, start: int) -> bool:
     for sign in ("\n", "\r") if text[k - 1 : k] == "\n" else ("\r",):
         if text[k - 1 : k] == sign:
             k -= 1
-    before = max(text.rfind("\n", max(0, k - LINE_REACH), k), text.rfind("\r", max(0, k - LINE_REACH), k)) + 1
+    end = text.rfind("\n", 0, k)
+    before = max(end, text.rfind("\r", end + 1, k)) + 1
     return not text[before:k].strip() or bool(_NUMBERED.match(text, before) or _BULLET.match(text, before))
 
 
@@ -153,25 +156,29 @@ def _ends(text: str, a: int, z: int, after: int) -> bool:
     return True
 
 
-def symbols(text: str, low: int, high: int) -> list[tuple[str, int, int]]:
-    """(symbol, start, end) of the events that begin in [low, high); a unit that ends at one ends at its end."""
-    out: list[tuple[str, int, int]] = []
-    k = low
-    if low:
-        k = max(text.rfind("\n", max(0, low - LINE_REACH), low), text.rfind("\r", max(0, low - LINE_REACH), low)) + 1
-    while k < high:
+def lines(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start, end and kind of each line: blank, one of a list, or neither."""
+    k = 0
+    while k < len(text):
         m = _line.search(text, k)
-        end = m.start() if m else len(text)
-        after = m.end() if m else len(text)
-        blank = not text[k:end].strip()
-        listed = not blank and _list_line(text, k)
-        if blank or listed:
-            out += [("B", k, k)] if k >= low else []
-            if listed and low <= end < high:
-                out.append(("B", end, end))
-        else:
-            _events(text, max(k, low), min(end, high), out)
+        end, after = m.span() if m else (len(text), len(text))
+        yield k, end, BLANK if not text[k:end].strip() else LISTED if _list_line(text, k) else PLAIN
         k = after
+
+
+def symbols(text: str, low: int, high: int, rows: Iterable[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(symbol, start, end) of the events that begin in [low, high); a unit that ends at one ends at its end.
+
+    rows are the lines that reach into [low, high), with their true starts and ends, which may lie outside ``text``.
+    """
+    out: list[tuple[str, int, int]] = []
+    for k, end, kind in rows:
+        if kind == PLAIN:
+            _events(text, max(k, low), min(end, high), out)
+            continue
+        out += [("B", k, k)] if k >= low else []
+        if kind == LISTED and low <= end < high:
+            out.append(("B", end, end))
     return out
 
 
@@ -265,7 +272,7 @@ def spans(text: str, ends: list[int], low: int = 0) -> list[tuple[int, int]]:
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence unit of a text, in code points."""
-    return spans(text, run(text, symbols(text, 0, len(text)), 0, len(text), 0)[1])
+    return spans(text, run(text, symbols(text, 0, len(text), lines(text)), 0, len(text), 0)[1])
 
 
 def cuts(text: str, size: int) -> list[tuple[int, int]]:
@@ -289,26 +296,39 @@ def _short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f
 
 
-_CHUNK = "h string, n int, low int, high int, base int, piece string"
+_CHUNK = "h string, n int, low int, high int, base int, piece string, lines array<array<int>>"
+
+
+def _pieces(text: str, size: int) -> Iterator[tuple[int, int, int, int, str, list[list[int]]]]:
+    """n, low, high, base, the characters around, and the lines of each chunk, found once in the whole text."""
+    rows, row = lines(text), None
+    for n, (a, z) in enumerate(cuts(text, size)):
+        base, own = max(0, a - CONTEXT), [row] if row and row[1] >= a else []
+        if not row or row[1] < z:
+            for row in rows:
+                if row[0] < z:
+                    own.append(row)
+                if row[1] >= z:
+                    break
+        yield n, a, z, base, text[base : z + CONTEXT], [[k - base, end - base, kind] for k, end, kind in own]
 
 
 def _chunks(size: int):
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for h, t in zip(f["h"], f["t"], strict=True):
-                rows = [(h, k, a, z, max(0, a - CONTEXT), t[max(0, a - CONTEXT) : z + CONTEXT]) for k, (a, z) in enumerate(cuts(t, size))]
-                yield pd.DataFrame(rows, columns=["h", "n", "low", "high", "base", "piece"])
+                yield pd.DataFrame([(h, *p) for p in _pieces(t, size)], columns=["h", "n", "low", "high", "base", "piece", "lines"])
 
     return make
 
 
-def _marks(piece: str, low: int, high: int, base: int) -> list[tuple[str, int, int]]:
-    return symbols(piece, low - base, high - base)
+def _marks(piece: str, low: int, high: int, base: int, rows: Iterable[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    return symbols(piece, low - base, high - base, rows)
 
 
 def _functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        made = [function(p, _marks(p, a, z, b), a - b, z - b) for p, a, z, b in zip(f["piece"], f["low"], f["high"], f["base"], strict=True)]
+        made = [function(p, _marks(p, a, z, b, x), a - b, z - b) for p, a, z, b, x in zip(f["piece"], f["low"], f["high"], f["base"], f["lines"], strict=True)]
         yield pd.DataFrame({"h": f["h"], "n": f["n"], "f": made})
 
 
@@ -320,8 +340,8 @@ def _starts(f: pd.DataFrame) -> pd.DataFrame:
 def _boundaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
-        for h, p, a, z, b, s in zip(f["h"], f["piece"], f["low"], f["high"], f["base"], f["state"], strict=True):
-            out += [(h, e + b) for e in run(p, _marks(p, a, z, b), a - b, z - b, s)[1]]
+        for h, p, a, z, b, x, s in zip(f["h"], f["piece"], f["low"], f["high"], f["base"], f["lines"], f["state"], strict=True):
+            out += [(h, e + b) for e in run(p, _marks(p, a, z, b, x), a - b, z - b, s)[1]]
         yield pd.DataFrame(out, columns=["h", "e"])
 
 

@@ -73,6 +73,31 @@ def test_units_cover_all_but_white_space():
         assert all(a < z and t[a:z] == t[a:z].strip() for a, z in found)
 
 
+def in_chunks(text, size):
+    made = [(p, a - b, z - b, b, s.symbols(p, a - b, z - b, rows)) for _, a, z, b, p, rows in s._pieces(text, size)]
+    states = s.scan([s.function(p, marks, a, z) for p, a, z, _, marks in made])
+    return s.spans(text, [e + b for (p, a, z, b, marks), state in zip(made, states, strict=True) for e in s.run(p, marks, a, z, state)[1]])
+
+
+def test_chunks_of_long_lines_follow_the_rules_of_whole_texts():
+    for bit in ("- x and so on. ", "– a pause here. ", "7. The next one. "):
+        for shift in range(0, 15, 2):  # so that the context of some chunk begins with the sign
+            t = "A" * shift + " word. " + bit * 4000
+            assert in_chunks(t, 8192) == s.sentences(t)
+            assert in_chunks("- " + t, 8192) == s.sentences("- " + t) == [(0, len(t) + 1)]
+    rng = random.Random(8)
+    for _ in range(20):
+        t = random_text(rng, 900) + "\n" + " " * rng.choice([0, 5000]) + "x. Y " * 900 + "\r\n2. item. Z\n" + random_text(rng, 900).replace("\n", " ")
+        assert in_chunks(t, 700) == s.sentences(t)
+
+
+def test_numbered_line_after_a_long_line():
+    long = "5. word " + "word " * 300
+    assert units(f"{long}\n6. One. Two") == [long.strip(), "6. One. Two"]
+    plain = "word " * 300
+    assert [k for *_, k in s.lines(f"7. a\n\n{plain}\n8. was it. Two")] == [s.LISTED, s.BLANK, s.PLAIN, s.PLAIN]
+
+
 def test_operator(spark):
     rng = random.Random(6)
     texts = [None, "", " \n", "One. Two.", *[random_text(rng, 700) for _ in range(12)], "word " * 3000 + ". End", "中" * 6000 + "。中"]
