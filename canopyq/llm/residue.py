@@ -1,7 +1,6 @@
 """Template residue and error-page text: placeholders, filler, error and access messages, notices that scripts are needed.
 
-Texts are brought to one form and their numbers, addresses and dates masked; equal hashes of the masked texts are grouped over all sources.
-Each distinct masked text is classified once, by placeholder rules, which need no recurrence, and by phrase rules: a message told by its whole
+Each distinct text is brought to one form and classified once, by placeholder rules, which need no recurrence, and by phrase rules: a message told by its whole
 wording needs none either, one told by some of its words only counts where it recurs over several sources.
 """
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.llm.lookalike import rewriter
+from canopyq.session import cut
 
 #: Elements whose text is never a case.
 CODE_ELEMENTS = ("script", "style", "pre", "code")
@@ -190,12 +190,14 @@ def residue(texts: DataFrame, least_sources: int = LEAST_SOURCES) -> DataFrame:
     kind is placeholder, filler, message or scripts; sources is the number of sites over which the masked text recurs, near enough. Null and
     empty values are never cases; a null site counts as no source.
     """
-    t = texts.filter("value is not null").select("doc_id", "node_id", "site", "value", *masked_hash(F.col("value")))
-    # a message that fills a third of the rows is one row of its partition before anything is shuffled
-    groups = t.groupBy("h1", "h2").agg(F.min("value").alias("value"), F.approx_count_distinct("site").alias("sources"))
-    kinds = groups.mapInPandas(_classify, "h1 long, h2 long, sources long, kind string").filter((F.col("kind") != "scripts?") | (F.col("sources") >= least_sources))
-    kinds = kinds.withColumn("kind", F.regexp_replace("kind", r"\?$", ""))
-    return t.select("doc_id", "node_id", "h1", "h2").join(kinds, ["h1", "h2"]).select("doc_id", "node_id", "kind", "sources").dropDuplicates(["doc_id", "node_id"])
+    own = [F.xxhash64("value").alias("v1"), F.xxhash64("value", F.lit(1)).alias("v2")]
+    t = texts.filter("value is not null").select("doc_id", "node_id", "site", "value", *own, *masked_hash(F.col("value")))
+    # each distinct text is classified as it stands, whatever others share its mask; one that fills a third of the rows is one row of its partition before anything is shuffled
+    kinds = t.groupBy("v1", "v2").agg(F.min("value").alias("value")).mapInPandas(_classify, "v1 long, v2 long, kind string")
+    found = cut(t.select("doc_id", "node_id", "site", "h1", "h2", "v1", "v2").join(kinds, ["v1", "v2"]).drop("v1", "v2"))
+    sources = found.groupBy("h1", "h2", "kind").agg(F.approx_count_distinct("site").alias("sources")).filter((F.col("kind") != "scripts?") | (F.col("sources") >= least_sources))
+    rows = found.drop("site").join(sources, ["h1", "h2", "kind"]).withColumn("kind", F.regexp_replace("kind", r"\?$", ""))
+    return rows.select("doc_id", "node_id", "kind", "sources").dropDuplicates(["doc_id", "node_id"])
 
 
 def residue_nodes(nodes: DataFrame) -> DataFrame:

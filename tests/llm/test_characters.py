@@ -204,3 +204,11 @@ def test_residue_in_code_is_none(spark):
     rows = node_rows(1, "s", "<html><body><pre>{{ x }}<b>{{ y }}</b></pre><code>{{ z }}</code><p>{{ w }}</p></body></html>")
     found = residue.residue_nodes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [dict(zip([r[1] for r in rows], [r[6] for r in rows], strict=True))[f.node_id] for f in found] == ["{{ w }}"]
+
+
+def test_residue_of_a_text_does_not_hang_on_others_with_its_mask(spark):
+    placeholders = ["https://x.test/{{slug}}", "See https://x.test/{{id}}", "__USER__@x.test", "{x12}"]
+    sound = ["https://a.test/a", "https://x.test/~", "See https://a.test/a", "See https://y.test/z", "a@x.test", "zoe@x.test", "{x1,2}"]
+    rows = [(k, 1, f"s{k % 3}", t) for k, t in enumerate(placeholders + sound)]
+    texts = spark.createDataFrame(rows, "doc_id long, node_id int, site string, value string")
+    assert {(rows[r.doc_id][3], r.kind) for r in residue.residue(texts).collect()} == {(t, "placeholder") for t in placeholders}
