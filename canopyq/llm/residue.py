@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -95,6 +95,14 @@ _ERRORS = [
     r"traceback \(most recent call last\).*|at [\w.$]+\(.{1,60}:0\).*",
 ]
 ERRORS = re.compile("(?:" + "|".join(_ERRORS) + ")")
+#: What longer error messages say besides, sentence by sentence.
+DETAILS = re.compile(
+    r"(?:not found|forbidden|internal server error|bad gateway|proxy error|service unavailable) the (?:requested|server|proxy|web ?server) .*|the requested (?:url|page|resource|file|address)(?: \S+)? (?:was|could|is) not .*"
+    r"|additionally, a 0 .* error was encountered while trying to use an errordocument to handle the request\.?|the server encountered an (?:internal error|unexpected condition|internal error or misconfiguration).*"
+    r"|(?:please )?contact the (?:server|site|web ?site|system) (?:administrator|owner)\b.*|more information about this error (?:may|can) be (?:available|found) in the server error log\.?|the proxy server (?:received an invalid|could not handle the).*|reason: .*"
+    r"|you (?:don't|do not) have permission to access .*|the server is (?:temporarily|currently) unable to (?:service|handle) your request.*|.{0,40}server at \S+ port 0\.?|#0 .*|(?:at )?[\w.$<>]+\(.*:0\)?(?: .*)?|file \S+ line 0, in .*|(?:stack trace|caused by): .*"
+)
+_sentence = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*|\s+(?=#0 |at [\w.$<>]+\(|file \S+ line 0)")
 
 # Asking for scripts, a word for scripts and a word for turning them on, by language.
 _SCRIPTS = re.compile(r"\bjava ?script\b|javascript|\bjs\b|\bscripting\b|\bscripts?\b|\bskripte?n?\b|скрипт|スクリプト|脚本|자바스크립트|스크립트")
@@ -145,6 +153,16 @@ def _quick() -> ahocorasick.Automaton:
     return a
 
 
+def _most(parts: list[str], rule: Callable[[str], object]) -> bool:
+    """Whether a rule holds for more than half of the parts; it is not asked further once that is out of reach."""
+    misses = 0
+    for p in parts:
+        misses += not rule(p)
+        if 2 * misses >= len(parts):
+            return False
+    return bool(parts)
+
+
 def whole(text: str) -> str:
     """"placeholder", "filler", "message", "scripts" or "" of a text, by rules that need no recurrence. The text is in its one form."""
     if _opens.search(text) and PLACEHOLDER.search(text):
@@ -160,10 +178,15 @@ def whole(text: str) -> str:
     latin = sum(w in LATIN_FILLER for w in words)
     if words and (latin >= 0.8 * len(words) and (len(words) > 3 or "lorem" in words or "ipsum" in words)):
         return "filler"
-    if len(bare) <= 240 and ERRORS.fullmatch(bare):
+    if ERRORS.fullmatch(bare):
+        return "message"
+    said = [p for p in _sentence.split(bare) if p]
+    if len(said) > 1 and _most(said, lambda p: ERRORS.fullmatch(p) or DETAILS.fullmatch(p)) and any(ERRORS.fullmatch(p) for p in said):
         return "message"
-    if len(bare) <= 240 and _SCRIPTS.search(bare) and _ENABLE.search(bare) and not _SKILLS.search(bare):
-        return "scripts" if _ASK.search(bare) else "scripts?"
+    if _SCRIPTS.search(bare) and _ENABLE.search(bare) and not _SKILLS.search(bare):
+        # a notice is about scripts, or about how to turn them on, in most of its sentences
+        if _most(said, lambda p: sum(r.search(p) is not None for r in (_SCRIPTS, _ENABLE, _ASK)) > 1):
+            return "scripts" if any(_SCRIPTS.search(p) and _ASK.search(p) for p in said) else "scripts?"
     return ""
 
 

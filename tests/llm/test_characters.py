@@ -212,3 +212,14 @@ def test_residue_of_a_text_does_not_hang_on_others_with_its_mask(spark):
     rows = [(k, 1, f"s{k % 3}", t) for k, t in enumerate(placeholders + sound)]
     texts = spark.createDataFrame(rows, "doc_id long, node_id int, site string, value string")
     assert {(rows[r.doc_id][3], r.kind) for r in residue.residue(texts).collect()} == {(t, "placeholder") for t in placeholders}
+
+
+APACHE = "Not Found. The requested URL /a/b.html was not found on this server. Additionally, a 404 Not Found error was encountered while trying to use an ErrorDocument to handle the request. Please contact the server administrator at admin@a.test and tell them when it happened."
+NOTICE = "This site needs JavaScript to show its pages. Please enable JavaScript in your browser settings to continue. In some browsers you have to open the menu of settings and allow scripts there. In others you need to turn on JavaScript under privacy. Then reload this page and the scripts are allowed to start as they should."
+TRACE = "Uncaught Error: Call to undefined function f() in /srv/a.php:12 Stack trace: " + " ".join(f"#{k} /srv/part{k}.php({k}): f{k}()" for k in range(30))
+PROSE = "JavaScript was written in ten days. It came with a browser that few people use today. Many pages required it soon. " + "The harbour town where its author lived has a library and a market. " * 6
+
+
+@pytest.mark.parametrize(("text", "kind"), [(APACHE, "message"), (NOTICE, "scripts"), (TRACE, "message"), (PROSE, ""), ("Not found. " + PROSE, "")])
+def test_messages_of_any_length(text, kind):
+    assert len(text) > 240 and residue.whole(FORM(text)) == kind
