@@ -23,6 +23,8 @@ from canopyq.session import cut
 
 #: Pages of a host, or hosts, over which a subtree must recur to be a template.
 LEAST_PAGES, LEAST_HOSTS = 2, 2
+#: Shares of a host's pages, or of all hosts, over which it must recur at least; and of a host's pages for a block that may be the body itself.
+PAGES_SHARE, BODY_SHARE = 0.02, 0.1
 #: A block with more than this share of the page's text is no template by its tag structure alone.
 MOST_SHARE = 0.6
 #: Characters up to which a block is small, whatever the page.
@@ -32,6 +34,7 @@ SMALL_BLOCK = 1000
 BOXES = frozenset("div section aside form dialog nav header footer center menu address".split())
 LISTS = frozenset(("p", "ul", "ol", "td", "dl"))
 HIDDEN = frozenset("head noscript script style title template button select option textarea label svg iframe object".split())
+BODIES = frozenset("div section center".split())
 CODE = frozenset(residue.CODE_ELEMENTS)
 CONTENT = frozenset("p h2 h3 h4 h5 h6 ul ol dl table blockquote figure pre br img".split())
 INLINE = frozenset("a b strong i em code span u small sup sub mark abbr cite q s br img".split())
@@ -44,9 +47,10 @@ _blank = re.compile(r"\s+")
 
 @dataclass
 class Page:
-    """What one page gives to the counts: blocks with their hashes, and text nodes with the block that holds them (-1: none)."""
+    """What one page gives to the counts: blocks with their hashes and whether they may be the body, and text nodes with the block that holds them (-1: none)."""
 
     hashes: list[list[int]] = field(default_factory=list)
+    bodies: list[bool] = field(default_factory=list)
     texts: list[tuple[int, int]] = field(default_factory=list)
 
 
@@ -153,7 +157,7 @@ class Reader:
             k = up[k]
         total = sum(len(v) for k, v in text.items() if k > head) or 1
         stack: list[tuple[int, int]] = []  # last node, block
-        skip = -1
+        skip, heads = -1, []
         for k in up:
             if k < head or k <= skip:
                 continue
@@ -165,12 +169,30 @@ class Reader:
                     skip = last[k]
                 elif not stack and k > last[head] and (name in BOXES or name in LISTS and self._links_only(k, name, tag, last, classed, kids, text)):
                     page.hashes.append(self._hashes(k, tag, last, kids, text, total))
+                    heads.append(k)
                     stack.append((last[k], len(page.hashes) - 1))
             elif not self._credit(text[k], k, tag, up, head):
                 if tag.get(up[k]) in CODE or self._in_code(k, tag, up) or not self.residue(text[k]):
                     page.texts.append((k, stack[-1][1] if stack else -1))
+        self._bodies(page, heads, tag, up, last, text, head)
         return page
 
+    def _bodies(self, page: Page, heads: list[int], tag, up, last, text, head) -> None:
+        """Blocks that may be the body: with those of their kind beside them they hold more text, links left out, than stands outside of all blocks. Only their text counts."""
+        kinds = [(up[k], *h[2:]) if len(h) > 2 else (k,) for k, h in zip(heads, page.hashes, strict=True)]
+        free, size = 0, dict.fromkeys(kinds, 0)
+        for k, block in page.texts:
+            if block >= 0:
+                p = up[k]
+                while p > heads[block] and tag[p] != "a":
+                    p = up[p]
+                if p <= heads[block]:
+                    size[kinds[block]] += len(text[k])
+            elif k > last[head] or tag[head] in ("p", "blockquote"):
+                free += len(text[k])
+        page.bodies = [tag[k] in BODIES and size[kind] > free for k, kind in zip(heads, kinds, strict=True)]
+        page.hashes = [h[:1] if body else h for h, body in zip(page.hashes, page.bodies, strict=True)]
+
     def _in_code(self, k, tag, up) -> bool:
         k = up[k]
         while k in tag:
@@ -226,7 +248,7 @@ def _reader() -> Reader:
     return Reader()
 
 
-_SCHEMA = "doc_id long, site string, hashes array<array<long>>, texts array<struct<node_id:int, block:int>>"
+_SCHEMA = "doc_id long, site string, hashes array<array<long>>, bodies array<boolean>, texts array<struct<node_id:int, block:int>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +260,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         page = reader.read(rows)
         if page.texts:
-            out.append((doc, site, page.hashes, page.texts))
+            out.append((doc, site, page.hashes, page.bodies, page.texts))
 
     def flush() -> pa.RecordBatch:
-        docs, sites, hashes, texts = zip(*out, strict=True)
+        docs, sites, hashes, bodies, texts = zip(*out, strict=True)
         out.clear()
         struct = pa.struct([("node_id", pa.int32()), ("block", pa.int32())])
-        made = [pa.array(docs, pa.int64()), pa.array(sites, pa.string()), pa.array(hashes, pa.list_(pa.list_(pa.int64()))), pa.array([[{"node_id": a, "block": b} for a, b in t] for t in texts], pa.list_(struct))]
-        return pa.RecordBatch.from_arrays(made, names=["doc_id", "site", "hashes", "texts"])
+        made = [pa.array(docs, pa.int64()), pa.array(sites, pa.string()), pa.array(hashes, pa.list_(pa.list_(pa.int64()))), pa.array(bodies, pa.list_(pa.bool_())), pa.array([[{"node_id": a, "block": b} for a, b in t] for t in texts], pa.list_(struct))]
+        return pa.RecordBatch.from_arrays(made, names=["doc_id", "site", "hashes", "bodies", "texts"])
 
     for b in batches:
         for d, k, p, z, t, v, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -276,13 +298,16 @@ def main_text_nodes(nodes: DataFrame, least_pages: int = LEAST_PAGES, least_host
     rows = rows.select("doc_id", "node_id", "parent_id", "last_desc", kind, F.when(F.col("kind") == "text", F.col("value")).alias("v"), "site")
     pages = rows.repartition("doc_id").sortWithinPartitions("doc_id", "node_id").mapInArrow(_read, _SCHEMA)
     pages = cut(pages)
-    blocks = pages.select("doc_id", "site", F.posexplode("hashes").alias("block", "hashes"))
-    hashes = blocks.select("doc_id", "site", "block", F.explode("hashes").alias("h"))
+    blocks = pages.select("doc_id", "site", "bodies", F.posexplode("hashes").alias("block", "hashes"))
+    hashes = blocks.select("doc_id", "site", "block", F.expr("bodies[block]").alias("body"), F.explode("hashes").alias("h"))
     # pages first, per host; a host or a block that has a third of all pages is added up before it is shuffled
     per_host = hashes.groupBy("h", "site").agg(F.approx_count_distinct("doc_id").alias("pages"))
-    host_counts = per_host.filter(F.col("pages") >= least_pages).filter("site is not null").select("h", "site")
-    over_hosts = per_host.groupBy("h").agg(F.sum("pages").alias("pages"), F.count("site").alias("hosts")).filter((F.col("hosts") >= least_hosts) & (F.col("pages") >= least_pages)).select("h")
-    gone = hashes.join(over_hosts, "h", "left_semi").select("doc_id", "block")
-    gone = gone.unionByName(hashes.join(host_counts, ["h", "site"], "left_semi").select("doc_id", "block")).distinct()
+    of_host = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    at_least = lambda least, share, n: F.col("pages" if n == "n" else "hosts") >= F.greatest(F.lit(least), F.ceil(F.col(n) * share))
+    host_counts = per_host.join(of_host, "site").filter(at_least(least_pages, PAGES_SHARE, "n")).select("h", "site", at_least(least_pages + 1, BODY_SHARE, "n").alias("many"))
+    over_hosts = per_host.groupBy("h").agg(F.sum("pages").alias("pages"), F.count("site").alias("hosts")).filter((F.col("hosts") >= least_hosts) & (F.col("pages") >= least_pages))
+    over_hosts = over_hosts.crossJoin(F.broadcast(of_host.agg(F.count("site").alias("all")))).filter(at_least(least_hosts, PAGES_SHARE, "all")).select("h")
+    gone = hashes.filter("not body").join(over_hosts, "h", "left_semi").select("doc_id", "block")
+    gone = gone.unionByName(hashes.join(host_counts, ["h", "site"]).filter("many or not body").select("doc_id", "block")).distinct()
     texts = pages.select("doc_id", F.inline("texts"))
     return texts.join(gone, ["doc_id", "block"], "left_anti").select("doc_id", "node_id")

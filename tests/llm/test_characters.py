@@ -223,3 +223,27 @@ PROSE = "JavaScript was written in ten days. It came with a browser that few peo
 @pytest.mark.parametrize(("text", "kind"), [(APACHE, "message"), (NOTICE, "scripts"), (TRACE, "message"), (PROSE, ""), ("Not found. " + PROSE, "")])
 def test_messages_of_any_length(text, kind):
     assert len(text) > 240 and residue.whole(FORM(text)) == kind
+
+
+def test_bodies_in_boxes_stay(spark):
+    words = "harbour lantern meadow orchard tunnel bridge kettle valley mill garden ferry market".split()
+
+    def piece(rng):
+        return " ".join(rng.choice(words) for _ in range(40)) + "."
+
+    def html(k, body):
+        return f'<html><body><h1>Story {words[k]}</h1>{body}<div class="m"><h3>Read also</h3><p>Get our letter every week.</p></div></body></html>'
+
+    rng = random.Random(5)
+    copied = f"<div><p>{piece(rng)}</p><p>{piece(rng)}</p></div>"
+    rows = []
+    for doc, (site, k, kind) in enumerate([(s, k, kind) for s in ("one", "two", "three") for k in range(4) for kind in ("div", "chapters", "copied")]):
+        body = {
+            "div": f'<div class="b"><p>{piece(rng)}</p><p>{piece(rng)}</p></div>',
+            "chapters": f"<section><h2>Introduction</h2><p>{piece(rng)}</p></section><section><h2>Summary</h2><p>{piece(rng)}</p></section>",
+            "copied": copied if k == 0 else f"<div><p>{piece(rng)}</p></div>",  # one article on three hosts
+        }[kind]
+        rows += node_rows(doc, site, html(k, body))
+    got = {(r.doc_id, r.node_id) for r in boilerplate.main_text_nodes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    kept = {(r[0], r[1]) for r in rows if r[3] == "text" and r[6] not in ("Read also", "Get our letter every week.")}
+    assert got == kept
