@@ -19,8 +19,7 @@ from canopyq.session import cut
 
 #: Stretches of the seeded order whose token sums are added up before positions inside a stretch are.
 BUCKETS = 16384
-#: Sources that a mix may have: patterns are subsets of them, and their token sums go to the driver.
-MOST_SOURCES = 64
+#: Patterns, subsets of the sources, that a mix may have: their token sums go to the driver.
 MOST_PATTERNS = 100_000
 
 
@@ -106,9 +105,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     spark = docs.sparkSession
     good = targets.filter(F.col("source").isNotNull())
     u = cut(units(docs, good, path))
-    rows = good.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"a mix may have {MOST_SOURCES} sources")
+    rows = good.select("source", "target_share", "max_repeats").collect()  # the flow has a node for each
     if len({r.source for r in rows}) < len(rows):
         raise ValueError("targets name a source twice")
     sums = u.groupBy("pattern").agg(F.sum("n_tokens").alias("w")).limit(MOST_PATTERNS + 1).collect()
@@ -146,6 +143,6 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     out = good.select("source", "target_share", "max_repeats").join(F.broadcast(quota), "source", "left").join(capacity, "source", "left").join(got, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     out = out.select("source", "target_share", "max_repeats", zero("available_tokens"), zero("quota_tokens"), zero("actual_tokens"), zero("documents"), zero("most_uses"), "reached")
-    all_tokens = F.sum("actual_tokens").over(Window.partitionBy(F.lit(1)))  # at most MOST_SOURCES rows
+    all_tokens = F.sum("actual_tokens").over(Window.partitionBy(F.lit(1)))  # a row per target
     share_column = F.when(all_tokens > 0, F.col("actual_tokens") / all_tokens).otherwise(F.lit(0.0))
     return picked, out.withColumn("actual_share", share_column)

@@ -78,3 +78,11 @@ def test_bad_targets(made, spark):
         mixing.mix(docs, targets.unionByName(targets))
     odd = spark.createDataFrame([("big", None, None), (None, 0.5, 1), ("small", -1.0, 2)], targets.schema)
     assert {r.actual_tokens for r in mixing.mix(docs, odd)[1].collect()} == {0}
+
+
+def test_more_than_64_sources(spark):
+    docs = spark.createDataFrame([(k, f"text number {k}", f"s{k}") for k in range(70)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(f"s{k}", 1 / 70, 2) for k in range(70)], "source string, target_share double, max_repeats int")
+    selected, report = mixing.mix(docs, targets)
+    got = {r.source: r for r in report.collect()}
+    assert len(got) == 70 and all(r.reached for r in got.values()) and {r.source for r in selected.collect()} == set(got)
