@@ -1,61 +1,58 @@
 """Main body of pages: site templates are found as element subtrees that recur over the pages of a host, and removed.
 
-Each page is read once in document order. After its headline, the subtrees that can be template blocks are hashed three ways: with their masked text, by
-their first text, and by their bare tag structure. The hashes are counted per host and over hosts, and blocks whose hashes recur
-are deleted; the text nodes that remain are the main body.
+Each page is read once in document order, and every subtree in it that holds text is hashed, from the text leaves (masked text under its element's name) up to
+the body. The hashes are counted per host and over hosts. A second look at each page, at its tree and the hashes that recur but not
+at its texts, deletes the outermost blocks that are template; in a block that stays it goes down to the blocks inside. The text nodes that remain are the main body.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.llm import residue
 from canopyq.llm.lookalike import rewriter
 from canopyq.session import cut
 
-#: Pages of a host, or hosts, over which a subtree must recur to be a template.
-LEAST_PAGES, LEAST_HOSTS = 2, 2
-#: Shares of a host's pages, or of all hosts, over which it must recur at least; and of a host's pages for a block that may be the body itself.
-PAGES_SHARE, BODY_SHARE = 0.02, 0.1
-#: A block with more than this share of the page's text is no template by its tag structure alone.
-MOST_SHARE = 0.6
-#: Characters up to which a block is small, whatever the page.
-SMALL_BLOCK = 1000
+#: Pages of a host, or hosts, over which a subtree must recur to be a template, and shares of a host's pages, or of all hosts.
+LEAST_PAGES, LEAST_HOSTS, PAGES_SHARE, HOSTS_SHARE = 3, 3, 0.02, 0.02
+#: Share of a host's pages over which a whole block must recur that may be the body itself.
+BODY_SHARE = 0.1
+#: Recurring hashes up to which they are broadcast (9 bytes each, counted first); beyond, they are joined by a shuffle over SALTS parts of each.
+MOST_BROADCAST, SALTS = 1_000_000, 32
 
 # Element names by what they do.
-BOXES = frozenset("div section aside form dialog nav header footer center menu address".split())
-LISTS = frozenset(("p", "ul", "ol", "td", "dl"))
-HIDDEN = frozenset("head noscript script style title template button select option textarea label svg iframe object".split())
-BODIES = frozenset("div section center".split())
+BLOCKS = frozenset("div section article main aside form dialog nav header footer center menu address table tr td".split())
+LISTS = frozenset("ul ol dl".split())
+SIDES = frozenset("aside form dialog nav header footer menu address".split())
+HIDDEN = frozenset("head noscript script style title template select option textarea svg iframe object".split())
+CONTROLS = frozenset("button label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("td th".split())
 CODE = frozenset(residue.CODE_ELEMENTS)
-CONTENT = frozenset("p h2 h3 h4 h5 h6 ul ol dl table blockquote figure pre br img".split())
-INLINE = frozenset("a b strong i em code span u small sup sub mark abbr cite q s br img".split())
+CREDITED = frozenset("p div span small address".split())
 
 #: A line that names an author or user, with a date or a running number after it.
-CREDIT = re.compile(r"[^.!?。！？।]{2,60}?(?:\W|[^\x00-\x7f]){1,6}(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|#\d+)(?:\s.{0,16})?", re.S)
-_digits = re.compile(r"\d+")
+CREDIT = re.compile(r"[^.!?。！？।]{2,}?(?:\W|[^\x00-\x7f]){1,6}(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|#\d+)(?:\s[^.!?。！？।]*)?", re.S)
+#: Dates and years, which a template fills in; other numbers tell pages apart.
+_dates = re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|(?<!\d)(?:19|20)\d\d(?!\d)")
+_host = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _blank = re.compile(r"\s+")
 
-
-@dataclass
-class Page:
-    """What one page gives to the counts: blocks with their hashes and whether they may be the body, and text nodes with the block that holds them (-1: none)."""
-
-    hashes: list[list[int]] = field(default_factory=list)
-    bodies: list[bool] = field(default_factory=list)
-    texts: list[tuple[int, int]] = field(default_factory=list)
-
-
-def _hash(s: str) -> int:
-    return xxhash.xxh64_intdigest(s) - (1 << 63)
+# what is kept of an element and of a text
+BLOCK, HEADING, TITLE, WHOLE, SIDE = 1, 2, 4, 8, 16
+LINK, QUIET, LEFT_OUT = 1, 2, 4
+# over what a hash recurs: hosts, pages of its host, so many of these that a body can be none
+OF_HOSTS, OF_HOST, OF_MOST = 1, 2, 3
+_P, _M = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 class Reader:
@@ -63,183 +60,186 @@ class Reader:
 
     def __init__(self):
         self.rewrite = rewriter().form
-        self.forms: dict[str, str] = {}
-        self.masks: dict[str, str] = {}
-        self.residues: dict[str, bool] = {}
-
-    def form(self, text: str) -> str:
-        if text.isascii():
-            return text
-        if (f := self.forms.get(text)) is None:
-            if len(self.forms) > 50_000:
-                self.forms.clear()
-            f = self.forms[text] = self.rewrite(text)
-        return f
-
-    def mask(self, text: str) -> str:
-        if (m := self.masks.get(text)) is None:
-            if len(self.masks) > 100_000:
-                self.masks.clear()
-            m = self.masks[text] = _digits.sub("0", _blank.sub(" ", self.form(text))).strip().lower()
-        return m
-
-    def residue(self, text: str) -> bool:
-        if (r := self.residues.get(text)) is None:
-            if len(self.residues) > 100_000:
-                self.residues.clear()
-            r = self.residues[text] = residue.whole(self.form(text)) not in ("", "scripts?")
-        return r
-
-    def read(self, rows: list[tuple[int, int, int, str, str | None]]) -> Page:
-        """rows: node_id, parent_id, last_desc, tag (empty for a text, @ for a class attribute), value; in document order, each once."""
-        tag: dict[int, str] = {}
-        up: dict[int, int] = {}
-        last: dict[int, int] = {}
-        classed: set[int] = set()
-        kids: dict[int, list[int]] = {}
-        text: dict[int, str] = {}
-        body = head = title = -1
-        for k, p, z, t, v in rows:
-            if t == "@":
-                classed.add(p)
+        self.known: dict[str, tuple[int, bool, bool]] = {}
+        self.names: dict[str, int] = {}
+
+    def name(self, tag: str) -> int:
+        if (h := self.names.get(tag)) is None:
+            h = self.names[tag] = xxhash.xxh64_intdigest(tag)
+        return h
+
+    def text(self, value: str) -> tuple[int, bool, bool]:
+        """Hash of the masked text, whether it is residue, and whether it has the form of a line that names an author."""
+        if (k := self.known.get(value)) is None:
+            if len(self.known) > 100_000:
+                self.known.clear()  # only a memory of results: they are found again
+            form = value if value.isascii() else self.rewrite(value)
+            mask = _blank.sub(" ", _dates.sub("0", _host.sub("@", form))).strip().lower()
+            k = self.known[value] = xxhash.xxh64_intdigest(mask), residue.whole(form) not in ("", *residue.UNSURE), CREDIT.fullmatch(form.strip()) is not None
+        return k
+
+    def read(self, rows: list[tuple[int, int, str, str | None, bool]]) -> tuple[list[int], bytes] | None:
+        """The hashes of a page and its tree. rows: node_id, parent_id, tag (empty for a text), value, whether it has a class; in document order, each once."""
+        at: dict[int, int] = {}
+        up, tags, kids = array("i"), [], []
+        link, code, classed, control = [], [], [], []
+        node, owner, size, what, leaf = array("i"), array("i"), array("i"), bytearray(), []
+        for k, p, tag, value, has_class in rows:
+            e = at.get(p, -1)
+            if tag:
+                if e == -2 or tag in HIDDEN:
+                    at[k] = -2
+                    continue
+                at[k] = len(up)
+                up.append(e)
+                tags.append(tag)
+                kids.append([])
+                link.append(tag == "a" or e >= 0 and link[e])
+                code.append(tag in CODE or e >= 0 and code[e])
+                classed.append(has_class)
+                control.append(tag in CONTROLS or e >= 0 and control[e])
+            elif e >= 0:
+                tag = tags[e]
+                h, bad, credit = self.text(value)
+                out = not code[e] and bad or credit and tag in CREDITED or control[e]
+                node.append(k)
+                owner.append(e)
+                size.append(len(value))
+                what.append(LINK * link[e] | QUIET * (tag in CELLS or code[e]) | LEFT_OUT * out)
+                leaf.append((self.name(tag) * _P + h) & _M)
+        return self._tree(up, tags, kids, link, classed, node, owner, size, what, leaf) if len(node) else None
+
+    def _tree(self, up, tags, kids, link, classed, node, owner, size, what, leaf) -> tuple[list[int], bytes]:
+        """Hashes from the leaves up. An element with one child that holds text has that child's hash; slots point to the distinct hashes of the page."""
+        slots: dict[int, int] = {}
+        slot = lambda h: slots.setdefault(h, len(slots))
+        n = len(up)
+        leaf_slot = array("i", [slot(h) for h in leaf])
+        mine, lead, only_links, shape = [0] * n, array("i", [-1] * n), bytearray(n), [0] * n
+        # children in document order: a text comes before the elements that begin after it
+        texts: list[list[int]] = [[] for _ in range(n)]
+        for t, e in enumerate(owner):
+            texts[e].append(t)
+            if lead[e] < 0:
+                lead[e] = t
+        first = list(lead)
+        own, links = array("i", [-1] * n), array("i", [-1] * n)
+        parts: list[list[tuple[int, int]]] = [[(t, leaf[t]) for t in ts] for ts in texts]
+        sound = [[bool(what[t] & LINK) for t in ts] for ts in texts]
+        for e in range(n - 1, -1, -1):
+            if not (own_parts := parts[e]):
                 continue
-            up[k] = p
-            kids.setdefault(p, []).append(k)
-            if t:
-                tag[k], last[k] = t, z
-                if t == "body" and body < 0:
-                    body = k
-                elif t == "h1" and head < 0:
-                    head = k
+            own_parts.sort()
+            lead[e] = first[e] = own_parts[0][0]
+            if len(own_parts) == 1:
+                h = own_parts[0][1]
             else:
-                text[k] = v
-                if title < 0 and tag.get(p) == "title":
-                    title = k
-        if head < 0:
-            head = self._headline(tag, up, kids, text, classed, max(body, 0), text.get(title, ""))
-        if head < 0:
-            return Page()
-        return self._blocks(tag, up, last, classed, kids, text, head)
-
-    def _headline(self, tag, up, kids, text, classed, body, title) -> int:
-        """Without h1: a text alone in a division without a class, with content right after it, best if it is the title; else nothing."""
-        want = self.mask(residue._site.sub("", title)) if title else ""
-        first = -1
-        for k in tag:
-            if k <= body or tag[k] not in ("div", "span", "strong", "b", "font", "p") or k in classed or len(own := kids.get(k, ())) != 1 or own[0] not in text:
-                continue
-            if want and self.mask(text[own[0]]) == want:
-                return k
-            if first < 0 and tag[k] == "div":
-                around = kids[up[k]]
-                at = around.index(k)
-                if at + 1 < len(around) and (around[at + 1] in text or tag.get(around[at + 1]) in CONTENT):
-                    first = k
-        if first >= 0:
-            return first
-        # no headline at all: the first paragraph of the element with most paragraph text
-        size: dict[int, int] = {}
-        start: dict[int, int] = {}
-        for p, own in kids.items():
-            if p < body:
-                continue
-            for k in own:
-                if tag.get(k) in ("p", "blockquote") and k not in classed:
-                    size[p] = size.get(p, 0) + sum(len(text.get(c, "")) for c in kids.get(k, ()))
-                    start.setdefault(p, k)
-        return start[max(size, key=lambda p: (size[p], -p))] if size else -1
-
-    def _blocks(self, tag, up, last, classed, kids, text, head) -> Page:
-        page = Page()
-        above, k = set(), up[head]
-        while k in tag:
-            above.add(k)
-            k = up[k]
-        total = sum(len(v) for k, v in text.items() if k > head) or 1
-        stack: list[tuple[int, int]] = []  # last node, block
-        skip, heads = -1, []
-        for k in up:
-            if k < head or k <= skip:
-                continue
-            while stack and k > stack[-1][0]:
-                stack.pop()
-            if k in tag:
-                name = tag[k]
-                if name in HIDDEN:
-                    skip = last[k]
-                elif not stack and k > last[head] and (name in BOXES or name in LISTS and self._links_only(k, name, tag, last, classed, kids, text)):
-                    page.hashes.append(self._hashes(k, tag, last, kids, text, total))
-                    heads.append(k)
-                    stack.append((last[k], len(page.hashes) - 1))
-            elif not self._credit(text[k], k, tag, up, head):
-                if tag.get(up[k]) in CODE or self._in_code(k, tag, up) or not self.residue(text[k]):
-                    page.texts.append((k, stack[-1][1] if stack else -1))
-        self._bodies(page, heads, tag, up, last, text, head)
-        return page
-
-    def _bodies(self, page: Page, heads: list[int], tag, up, last, text, head) -> None:
-        """Blocks that may be the body: with those of their kind beside them they hold more text, links left out, than stands outside of all blocks. Only their text counts."""
-        kinds = [(up[k], *h[2:]) if len(h) > 2 else (k,) for k, h in zip(heads, page.hashes, strict=True)]
-        free, size = 0, dict.fromkeys(kinds, 0)
-        for k, block in page.texts:
-            if block >= 0:
-                p = up[k]
-                while p > heads[block] and tag[p] != "a":
-                    p = up[p]
-                if p <= heads[block]:
-                    size[kinds[block]] += len(text[k])
-            elif k > last[head] or tag[head] in ("p", "blockquote"):
-                free += len(text[k])
-        page.bodies = [tag[k] in BODIES and size[kind] > free for k, kind in zip(heads, kinds, strict=True)]
-        page.hashes = [h[:1] if body else h for h, body in zip(page.hashes, page.bodies, strict=True)]
-
-    def _in_code(self, k, tag, up) -> bool:
-        k = up[k]
-        while k in tag:
-            if tag[k] in CODE:
-                return True
-            k = up[k]
-        return False
-
-    def _credit(self, value: str, k: int, tag, up, head: int) -> bool:
-        return len(value) < 80 and up[k] != head and tag.get(up[k]) in ("p", "div", "span", "small", "address") and CREDIT.fullmatch(self.form(value)) is not None
-
-    def _links_only(self, k, name, tag, last, classed, kids, text) -> bool:
-        """Whether all text of a paragraph or cell is in links, or all of a list that has a class."""
-        if name in ("ul", "ol", "dl") and k not in classed:
-            return False
-        links, todo = 0, list(kids.get(k, ()))
-        while todo:
-            c = todo.pop()
-            if c in text:
-                return False
-            if tag[c] == "a":
-                links += 1
-            elif tag[c] in ("li", "ul", "span", "dd", "dt"):
-                todo += kids.get(c, ())
-            elif tag[c] not in ("br", "img"):
-                return False
-        return links > 0
-
-    def _hashes(self, k, tag, last, kids, text, total) -> list[int]:
-        """Hashes of the subtree with its masked text, of its first text, and of its tags with repeats left out."""
-        parts, tags, lead, size, todo = [], [], "", 0, [k]
-        while todo:
-            c = todo.pop()
-            if c in text:
-                m = self.mask(text[c])
-                lead = lead or m
-                parts.append(m)
-                size += len(text[c])
+                h = self.name(tags[e])
+                for _, x in own_parts:
+                    h = (h * _P + x + 1) & _M
+            mine[e] = h
+            own[e] = slot(h)
+            only_links[e] = all(sound[e])
+            if only_links[e]:
+                # the subtree with the texts of its links masked: names, and whether there is a class, repeats left out
+                h = (self.name(tags[e]) + classed[e]) * _P & _M
+                for x in dict.fromkeys(shape[c] for c in kids[e]):
+                    h = (h * _P + x + 7) & _M
+                shape[e] = h
+                if tags[e] in BLOCKS or tags[e] == "p" or tags[e] in LISTS and classed[e]:
+                    links[e] = slot(h)
+            if (u := up[e]) >= 0:
+                parts[u].append((lead[e], mine[e]))
+                sound[u].append(bool(only_links[e]))
+                kids[u].insert(0, e)
+        # a list without a class, or one of more than links, goes only as a whole
+        kinds = bytearray(BLOCK * (t in BLOCKS or links[e] >= 0 or t in LISTS and classed[e]) | HEADING * (t in HEADINGS) | TITLE * (t == "h1") | WHOLE * (t in LISTS) | SIDE * (classed[e] or t in SIDES) for e, t in enumerate(tags))
+        # elements of a kind: their name and that of the element around their first text
+        names = array("q", [(self.name(t) + 3 * self.name(tags[owner[lead[e]]]) & _M) >> 1 if lead[e] >= 0 else 0 for e, t in enumerate(tags)])
+        blob = array("i", [n, len(node)]).tobytes() + b"".join(x.tobytes() for x in (up, lead, own, links, node, owner, size, leaf_slot, names)) + kinds + what
+        return [h - (1 << 63) for h in slots], zlib.compress(blob, 1)
+
+
+def _main(up, names, prose, titles, blocks) -> list[bool]:
+    """The elements that the main body is in: from the root down to the block that holds the page's own headline, else to those of one kind that hold most prose of the page's own."""
+    n = len(up)
+    kids: list[list[int]] = [[] for _ in range(n)]
+    main = [u < 0 for u in up]
+    for e in range(n):
+        if up[e] >= 0 and blocks[e]:
+            kids[up[e]].append(e)
+    for e in range(n):
+        if not main[e] or not kids[e]:
+            continue
+        if found := [c for c in kids[e] if titles[c]]:
+            main[found[0]] = True
+            continue
+        kin: dict[int, int] = {}
+        for c in kids[e]:
+            kin[names[c]] = kin.get(names[c], 0) + prose[c]
+        most = max(kin, key=lambda k: kin[k])
+        if kin[most] > prose[e] - sum(kin.values()):
+            for c in kids[e]:
+                main[c] = names[c] == most
+    return main
+
+
+def decide(blob: bytes, flags: dict[int, int]) -> list[int]:
+    """The text nodes of the main body of a page. flags: of the slots whose hash recurs, over what."""
+    data = zlib.decompress(blob)
+    n, m = array("i", data[:8])
+    at = 8
+
+    def ints(count: int, code: str = "i") -> array:
+        nonlocal at
+        a = array(code)
+        z = at + count * a.itemsize
+        a.frombytes(data[at:z])
+        at = z
+        return a
+
+    up, lead, own, links = ints(n), ints(n), ints(n), ints(n)
+    node, owner, size, leaf_slot = ints(m), ints(m), ints(m), ints(m)
+    names = ints(n, "q")
+    kinds, what = data[at : at + n], data[at + n :]
+    # what an element has from those around it: whether a recurring block or a heading holds it
+    covered, heading = [0] * n, [0] * n
+    for e in range(n):
+        u = up[e]
+        covered[e] = max(covered[u] if u >= 0 else 0, flags.get(own[e], 0) if kinds[e] & BLOCK else 0)
+        heading[e] = kinds[e] & (HEADING | TITLE) | (heading[u] if u >= 0 else 0)
+    # of each element: leaves, recurring leaves, characters of prose of the page's own, its own headlines, and whether it is or holds a block
+    leaves, again, prose, titles = ([0] * n for _ in range(4))
+    blocks = [bool(kinds[e] & BLOCK) for e in range(n)]
+    recurs = [0 if what[t] & QUIET else max(covered[owner[t]], flags.get(leaf_slot[t], 0)) for t in range(m)]
+    for t, e in enumerate(owner):
+        if not what[t] & QUIET:
+            leaves[e] += 1
+            again[e] += recurs[t] > 0
+        if heading[e] & TITLE:
+            titles[e] += recurs[t] < OF_HOST or bool(what[t] & LEFT_OUT)
+        elif recurs[t] < OF_HOST and not what[t] & LINK and not heading[e]:
+            prose[e] += size[t]
+    for e in range(n - 1, -1, -1):
+        if (u := up[e]) >= 0:
+            leaves[u] += leaves[e]
+            again[u] += again[e]
+            prose[u] += prose[e]
+            titles[u] += titles[e]
+            blocks[u] = blocks[u] or blocks[e]
+    # a block goes if it recurs as a whole, in half of its leaves or as a shape of links; by its first leaf only if it is marked as one beside the text
+    main = _main(up, names, prose, titles, blocks)
+    gone = [False] * n
+    for e in range(n):
+        if up[e] >= 0 and gone[up[e]]:
+            gone[e] = True
+        elif kinds[e] & (BLOCK | WHOLE) and leaves[e]:
+            whole = flags.get(own[e], 0)
+            if main[e] or not kinds[e] & BLOCK:
+                gone[e] = whole == OF_MOST
             else:
-                parts.append(f"<{tag[c]}>")
-                if tag[c] not in INLINE and (not tags or tags[-1] != tag[c]):
-                    tags.append(tag[c])
-                todo += reversed(kids.get(c, ()))
-        out = [_hash("text " + " ".join(parts)), _hash(f"lead {tag[k]} {lead}")]
-        if size <= max(SMALL_BLOCK, MOST_SHARE * total):
-            out.append(_hash("tags " + " ".join(tags)))
-        return out
+                gone[e] = bool(whole or 2 * again[e] > leaves[e] or kinds[e] & SIDE and (recurs[lead[e]] and leaves[e] > 1 or 2 * again[e] >= leaves[e]) or links[e] in flags)
+    return [node[t] for t in range(m) if not what[t] & LEFT_OUT and not gone[owner[t]]]
 
 
 @functools.cache
@@ -248,35 +248,32 @@ def _reader() -> Reader:
     return Reader()
 
 
-_SCHEMA = "doc_id long, site string, hashes array<array<long>>, bodies array<boolean>, texts array<struct<node_id:int, block:int>>"
+_SCHEMA = "doc_id long, site string, hashes array<long>, tree binary"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by doc_id and node_id; a page may go on in the next batch. A page delivered again has its rows twice."""
-    reader = _reader()
+    read = _reader().read
     doc, site, rows = None, None, []
     out: list[tuple] = []
 
     def close() -> None:
-        page = reader.read(rows)
-        if page.texts:
-            out.append((doc, site, page.hashes, page.bodies, page.texts))
+        if (page := read(rows)) is not None:
+            out.append((doc, site, *page))
 
     def flush() -> pa.RecordBatch:
-        docs, sites, hashes, bodies, texts = zip(*out, strict=True)
+        made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()), strict=True)]
         out.clear()
-        struct = pa.struct([("node_id", pa.int32()), ("block", pa.int32())])
-        made = [pa.array(docs, pa.int64()), pa.array(sites, pa.string()), pa.array(hashes, pa.list_(pa.list_(pa.int64()))), pa.array(bodies, pa.list_(pa.bool_())), pa.array([[{"node_id": a, "block": b} for a, b in t] for t in texts], pa.list_(struct))]
-        return pa.RecordBatch.from_arrays(made, names=["doc_id", "site", "hashes", "bodies", "texts"])
+        return pa.RecordBatch.from_arrays(made, names=["doc_id", "site", "hashes", "tree"])
 
     for b in batches:
-        for d, k, p, z, t, v, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for d, k, p, t, v, c, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if d != doc:
                 if doc is not None:
                     close()
                 doc, site, rows = d, s, []
             if not rows or rows[-1][0] != k:
-                rows.append((k, p, z, t, v))
+                rows.append((k, p, t, v, c))
         if len(out) >= 500:
             yield flush()
     if doc is not None:
@@ -285,29 +282,57 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def main_text_nodes(nodes: DataFrame, least_pages: int = LEAST_PAGES, least_hosts: int = LEAST_HOSTS) -> DataFrame:
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        docs, nodes = [], []
+        for doc, blob, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            kept = decide(blob, {x >> 2: x & 3 for x in found or ()})
+            docs += [doc] * len(kept)
+            nodes += kept
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(nodes, pa.int32())], names=["doc_id", "node_id"])
+
+
+def recurring(pages: DataFrame, least_pages: int = LEAST_PAGES, least_hosts: int = LEAST_HOSTS) -> DataFrame:
+    """site, h, flag of the hashes that recur. A null site is one by the name of "", of which no page counts."""
+    at_least = lambda count, least, n, share: F.col(count) >= F.greatest(F.lit(least), F.ceil(F.col(n) * share))
+    site = F.coalesce("site", F.lit("")).alias("site")
+    # a page has each of its hashes once, so rows are pages; a hot host or hash is added up before it is shuffled
+    per_host = pages.select(site, F.explode("hashes").alias("h")).groupBy("h", "site").agg(F.count(F.lit(1)).alias("pages"))
+    of_host = pages.select(site).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    named = F.col("site") != ""
+    over_hosts = per_host.filter(named).groupBy("h").agg(F.count(F.lit(1)).alias("hosts"))
+    over_hosts = over_hosts.filter(F.col("hosts") >= least_hosts).crossJoin(F.broadcast(of_host.filter(named).agg(F.count(F.lit(1)).alias("all")))).filter(at_least("hosts", least_hosts, "all", HOSTS_SHARE))
+    own = per_host.filter(named & (F.col("pages") >= least_pages)).join(of_host, "site").filter(at_least("pages", least_pages, "n", PAGES_SHARE))
+    own = own.select("site", "h", F.when(at_least("pages", least_pages, "n", BODY_SHARE), OF_MOST).otherwise(OF_HOST).alias("flag"))
+    far = per_host.join(over_hosts.select("h"), "h", "left_semi").select("site", "h", F.lit(OF_HOSTS).alias("flag"))
+    return own.unionByName(far).groupBy("site", "h").agg(F.max("flag").cast("byte").alias("flag"))
+
+
+def main_text_nodes(nodes: DataFrame, least_pages: int = LEAST_PAGES, least_hosts: int = LEAST_HOSTS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, node_id of the text nodes of each page's main body, each once.
 
-    A page without a headline or paragraphs, an empty page and an empty table give nothing. Null, empty and blank texts, template residue, text in head,
-    noscript and form controls, and lines that name an author or user are never part of a body. A null site counts only in the counts
-    over hosts.
+    An empty table gives nothing. Null, empty and blank texts, template residue, text in head, noscript and form controls, and lines that name
+    an author or user are never part of a body. Pages without a site count as no host, so only what recurs over hosts is deleted from them.
     """
-    kind = F.when(F.col("kind") == "element", F.lower("name")).when(F.col("kind") == "text", "").otherwise("@").alias("t")
     text = "kind = 'text' and value is not null and not coalesce(only_whitespace, false) and value <> ''"
-    rows = nodes.filter(f"kind = 'element' or ({text}) or (kind = 'attribute' and lower(name) = 'class')")
-    rows = rows.select("doc_id", "node_id", "parent_id", "last_desc", kind, F.when(F.col("kind") == "text", F.col("value")).alias("v"), "site")
-    pages = rows.repartition("doc_id").sortWithinPartitions("doc_id", "node_id").mapInArrow(_read, _SCHEMA)
-    pages = cut(pages)
-    blocks = pages.select("doc_id", "site", "bodies", F.posexplode("hashes").alias("block", "hashes"))
-    hashes = blocks.select("doc_id", "site", "block", F.expr("bodies[block]").alias("body"), F.explode("hashes").alias("h"))
-    # pages first, per host; a host or a block that has a third of all pages is added up before it is shuffled
-    per_host = hashes.groupBy("h", "site").agg(F.approx_count_distinct("doc_id").alias("pages"))
-    of_host = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    at_least = lambda least, share, n: F.col("pages" if n == "n" else "hosts") >= F.greatest(F.lit(least), F.ceil(F.col(n) * share))
-    host_counts = per_host.join(of_host, "site").filter(at_least(least_pages, PAGES_SHARE, "n")).select("h", "site", at_least(least_pages + 1, BODY_SHARE, "n").alias("many"))
-    over_hosts = per_host.groupBy("h").agg(F.sum("pages").alias("pages"), F.count("site").alias("hosts")).filter((F.col("hosts") >= least_hosts) & (F.col("pages") >= least_pages))
-    over_hosts = over_hosts.crossJoin(F.broadcast(of_host.agg(F.count("site").alias("all")))).filter(at_least(least_hosts, PAGES_SHARE, "all")).select("h")
-    gone = hashes.filter("not body").join(over_hosts, "h", "left_semi").select("doc_id", "block")
-    gone = gone.unionByName(hashes.join(host_counts, ["h", "site"]).filter("many or not body").select("doc_id", "block")).distinct()
-    texts = pages.select("doc_id", F.inline("texts"))
-    return texts.join(gone, ["doc_id", "block"], "left_anti").select("doc_id", "node_id")
+    tag = F.when(F.col("kind") == "element", F.lower("name")).otherwise("").alias("t")
+    has_class = F.coalesce(F.map_contains_key("attrs", F.lit("class")), F.lit(False)).alias("c")
+    rows = nodes.filter(f"kind = 'element' or ({text})").select("doc_id", "node_id", "parent_id", tag, F.when(F.col("kind") == "text", F.col("value")).alias("v"), has_class, "site")
+    pages = cut(rows.repartition("doc_id").sortWithinPartitions("doc_id", "node_id").mapInArrow(_read, _SCHEMA))
+    found = cut(recurring(pages, least_pages, least_hosts).select(_key(F.col("site"), F.col("h")).alias("k"), "flag"))
+    hashes = pages.select("doc_id", F.coalesce("site", F.lit("")).alias("site"), F.posexplode("hashes").alias("slot", "h"))
+    hashes = hashes.select("doc_id", _key(F.col("site"), F.col("h")).alias("k"), "slot")
+    on = ["k"]
+    if found.count() <= most_broadcast:
+        found = F.broadcast(found)
+    else:
+        # a hash on a third of all pages is spread over parts; only the few that recur are repeated for each
+        hashes = hashes.withColumn("part", F.pmod("doc_id", F.lit(SALTS)).cast("int"))
+        found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = ["k", "part"]
+    flags = hashes.join(found, on).groupBy("doc_id").agg(F.collect_list(F.col("slot") * 4 + F.col("flag")).alias("found"))
+    return pages.select("doc_id", "tree").join(flags, "doc_id", "left").select("doc_id", "tree", "found").mapInArrow(_decide, "doc_id long, node_id int")
+
+
+def _key(site: Column, h: Column) -> Column:
+    return F.xxhash64(site, h)

@@ -22,6 +22,8 @@ from canopyq.session import cut
 CODE_ELEMENTS = ("script", "style", "pre", "code")
 #: Sources over which a text must recur to count as a message by some of its words only.
 LEAST_SOURCES = 2
+#: Kinds that only count where they recur.
+UNSURE = ("scripts?",)
 
 # What an unfilled placeholder looks like.
 _NAME = r"[^\W\d][\w.\-]*(?:\([^()\n]*\))?(?:\s*\|\s*\w+)*"
