@@ -28,10 +28,15 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Keep the cluster's spark.checkpoint.dir; only where none is named, as in tests, set a local one."""
+    """Keep the cluster's spark.checkpoint.dir; only on a local master without one, as in tests, set a local one. Elsewhere a missing one is an error."""
     context = spark.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().isDefined():
+    if context._jsc.sc().getCheckpointDir().isDefined():
         return spark
+    if shared := context.getConf().get("spark.checkpoint.dir"):
+        context.setCheckpointDir(shared)
+        return spark
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="canopyq-checkpoint-"))
     return spark
 
