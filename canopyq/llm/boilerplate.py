@@ -40,15 +40,17 @@ CELLS = frozenset("td th".split())
 CODE = frozenset(residue.CODE_ELEMENTS)
 CREDITED = frozenset("p div span small address".split())
 
-#: A line that names an author or user, with a date or a running number after it.
-CREDIT = re.compile(r"[^.!?。！？।]{2,}?(?:\W|[^\x00-\x7f]){1,6}(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|#\d+)(?:\s[^.!?。！？।]*)?", re.S)
+#: A date or a running number, as after the name of an author or user.
+_stamp = re.compile(r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4})(?!\d)|#\d+")
+_stop = re.compile(r"[.!?。！？।]")
 #: Dates and years, which a template fills in; other numbers tell pages apart.
 _dates = re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|(?<!\d)(?:19|20)\d\d(?!\d)")
+_digit = re.compile(r"\d")
+_dotted = re.compile(r"[\w-]\.[\w-]")
 _host = re.compile(r"[\w-]+(?:\.[\w-]+)+")
-_blank = re.compile(r"\s+")
 
 # what is kept of an element and of a text
-BLOCK, HEADING, TITLE, WHOLE, SIDE = 1, 2, 4, 8, 16
+BLOCK, HEADING, TITLE, WHOLE, SIDE, PARAGRAPH, CELL, CLASSED = (1 << k for k in range(8))
 LINK, QUIET, LEFT_OUT = 1, 2, 4
 # over what a hash recurs: hosts, pages of its host, so many of these that a body can be none
 OF_HOSTS, OF_HOST, OF_MOST = 1, 2, 3
@@ -61,12 +63,15 @@ class Reader:
     def __init__(self):
         self.rewrite = rewriter().form
         self.known: dict[str, tuple[int, bool, bool]] = {}
-        self.names: dict[str, int] = {}
-
-    def name(self, tag: str) -> int:
-        if (h := self.names.get(tag)) is None:
-            h = self.names[tag] = xxhash.xxh64_intdigest(tag)
-        return h
+        self.tags: dict[str, tuple[int, bool, bool, bool, int]] = {}
+        self.credited = {self.tag(name)[0] for name in CREDITED}
+
+    def tag(self, name: str) -> tuple[int, bool, bool, bool, int]:
+        """Hash of an element name, whether it is a link, code or a control, and its kind."""
+        if (k := self.tags.get(name)) is None:
+            kind = BLOCK * (name in BLOCKS) | HEADING * (name in HEADINGS) | TITLE * (name == "h1") | WHOLE * (name in LISTS) | SIDE * (name in SIDES) | PARAGRAPH * (name == "p") | CELL * (name in CELLS) 
+            k = self.tags[name] = xxhash.xxh64_intdigest(name), name == "a", name in CODE, name in CONTROLS, kind
+        return k
 
     def text(self, value: str) -> tuple[int, bool, bool]:
         """Hash of the masked text, whether it is residue, and whether it has the form of a line that names an author."""
@@ -74,93 +79,109 @@ class Reader:
             if len(self.known) > 100_000:
                 self.known.clear()  # only a memory of results: they are found again
             form = value if value.isascii() else self.rewrite(value)
-            mask = _blank.sub(" ", _dates.sub("0", _host.sub("@", form))).strip().lower()
-            k = self.known[value] = xxhash.xxh64_intdigest(mask), residue.whole(form) not in ("", *residue.UNSURE), CREDIT.fullmatch(form.strip()) is not None
+            mask, credit = " ".join(form.lower().split()), False
+            if _dotted.search(mask):
+                mask = _host.sub("@", mask)
+            if _digit.search(mask):
+                mask, credit = _dates.sub("0", mask), credited(form.strip())
+            k = self.known[value] = xxhash.xxh64_intdigest(mask), residue.whole(form) not in ("", *residue.UNSURE), credit
         return k
 
     def read(self, rows: list[tuple[int, int, str, str | None, bool]]) -> tuple[list[int], bytes] | None:
         """The hashes of a page and its tree. rows: node_id, parent_id, tag (empty for a text), value, whether it has a class; in document order, each once."""
         at: dict[int, int] = {}
-        up, tags, kids = array("i"), [], []
-        link, code, classed, control = [], [], [], []
+        up, kinds = array("i"), bytearray()
+        # of each element: what holds its children (a text as its number, an element as its number inverted), the hash of its name
+        kids: list[list[int]] = []
+        names, link, code, control = [], [], [], []
         node, owner, size, what, leaf = array("i"), array("i"), array("i"), bytearray(), []
-        for k, p, tag, value, has_class in rows:
+        for k, p, tag, value, classed in rows:
             e = at.get(p, -1)
             if tag:
                 if e == -2 or tag in HIDDEN:
                     at[k] = -2
                     continue
-                at[k] = len(up)
+                name, is_link, is_code, is_control, kind = self.tag(tag)
+                at[k] = new = len(up)
+                if e >= 0:
+                    kids[e].append(~new)
+                    is_link, is_code, is_control = is_link or link[e], is_code or code[e], is_control or control[e]
                 up.append(e)
-                tags.append(tag)
                 kids.append([])
-                link.append(tag == "a" or e >= 0 and link[e])
-                code.append(tag in CODE or e >= 0 and code[e])
-                classed.append(has_class)
-                control.append(tag in CONTROLS or e >= 0 and control[e])
+                names.append(name)
+                link.append(is_link)
+                code.append(is_code)
+                control.append(is_control)
+                kinds.append(kind | CLASSED * classed)
             elif e >= 0:
-                tag = tags[e]
                 h, bad, credit = self.text(value)
-                out = not code[e] and bad or credit and tag in CREDITED or control[e]
+                kids[e].append(len(node))
+                out = not code[e] and bad or credit and names[e] in self.credited or control[e]
                 node.append(k)
                 owner.append(e)
                 size.append(len(value))
-                what.append(LINK * link[e] | QUIET * (tag in CELLS or code[e]) | LEFT_OUT * out)
-                leaf.append((self.name(tag) * _P + h) & _M)
-        return self._tree(up, tags, kids, link, classed, node, owner, size, what, leaf) if len(node) else None
+                what.append(LINK * link[e] | QUIET * (code[e] or kinds[e] & CELL > 0) | LEFT_OUT * bool(out))
+                leaf.append((names[e] * _P + h) & _M)
+        return self._tree(up, kinds, kids, names, node, owner, size, what, leaf) if len(node) else None
 
-    def _tree(self, up, tags, kids, link, classed, node, owner, size, what, leaf) -> tuple[list[int], bytes]:
-        """Hashes from the leaves up. An element with one child that holds text has that child's hash; slots point to the distinct hashes of the page."""
+    def _tree(self, up, kinds, kids, names, node, owner, size, what, leaf) -> tuple[list[int], bytes]:
+        """Hashes from the leaves up. An element with one child that holds text has that child's hash; slots point to the distinct hashes of the page. Cells and code have none."""
         slots: dict[int, int] = {}
-        slot = lambda h: slots.setdefault(h, len(slots))
+        slot = slots.setdefault
         n = len(up)
-        leaf_slot = array("i", [slot(h) for h in leaf])
-        mine, lead, only_links, shape = [0] * n, array("i", [-1] * n), bytearray(n), [0] * n
-        # children in document order: a text comes before the elements that begin after it
-        texts: list[list[int]] = [[] for _ in range(n)]
-        for t, e in enumerate(owner):
-            texts[e].append(t)
-            if lead[e] < 0:
-                lead[e] = t
-        first = list(lead)
+        leaf_slot = array("i", [-1 if w & QUIET else slot(h, len(slots)) for h, w in zip(leaf, what, strict=True)])
+        mine, lead, shape = [0] * n, array("i", [-1] * n), [0] * n
         own, links = array("i", [-1] * n), array("i", [-1] * n)
-        parts: list[list[tuple[int, int]]] = [[(t, leaf[t]) for t in ts] for ts in texts]
-        sound = [[bool(what[t] & LINK) for t in ts] for ts in texts]
+        only_links, loud = [False] * n, [False] * n
         for e in range(n - 1, -1, -1):
-            if not (own_parts := parts[e]):
+            first, h, count, linked, speaks, inner = -1, 0, 0, True, False, []
+            for c in kids[e]:
+                if c >= 0:
+                    t, x = c, leaf[c]
+                    linked = linked and what[c] & LINK
+                    speaks = speaks or not what[c] & QUIET
+                else:
+                    c = ~c
+                    if (t := lead[c]) < 0:
+                        continue
+                    x = mine[c]
+                    linked = linked and only_links[c]
+                    speaks = speaks or loud[c]
+                    inner.append(shape[c])
+                if count == 0:
+                    first, h = t, x
+                else:
+                    h = ((names[e] + h if count == 1 else h) * _P + x + 1) & _M
+                count += 1
+            if not count:
                 continue
-            own_parts.sort()
-            lead[e] = first[e] = own_parts[0][0]
-            if len(own_parts) == 1:
-                h = own_parts[0][1]
-            else:
-                h = self.name(tags[e])
-                for _, x in own_parts:
-                    h = (h * _P + x + 1) & _M
-            mine[e] = h
-            own[e] = slot(h)
-            only_links[e] = all(sound[e])
-            if only_links[e]:
+            lead[e], mine[e], loud[e] = first, h, speaks
+            if speaks:
+                own[e] = slot(h, len(slots))
+            if linked:
+                only_links[e] = True
                 # the subtree with the texts of its links masked: names, and whether there is a class, repeats left out
-                h = (self.name(tags[e]) + classed[e]) * _P & _M
-                for x in dict.fromkeys(shape[c] for c in kids[e]):
+                kind = kinds[e]
+                h = (names[e] + (kind & CLASSED)) * _P & _M
+                for x in dict.fromkeys(inner):
                     h = (h * _P + x + 7) & _M
                 shape[e] = h
-                if tags[e] in BLOCKS or tags[e] == "p" or tags[e] in LISTS and classed[e]:
-                    links[e] = slot(h)
-            if (u := up[e]) >= 0:
-                parts[u].append((lead[e], mine[e]))
-                sound[u].append(bool(only_links[e]))
-                kids[u].insert(0, e)
-        # a list without a class, or one of more than links, goes only as a whole
-        kinds = bytearray(BLOCK * (t in BLOCKS or links[e] >= 0 or t in LISTS and classed[e]) | HEADING * (t in HEADINGS) | TITLE * (t == "h1") | WHOLE * (t in LISTS) | SIDE * (classed[e] or t in SIDES) for e, t in enumerate(tags))
+                if kind & (BLOCK | PARAGRAPH) or kind & WHOLE and kind & CLASSED:
+                    links[e] = slot(h, len(slots))
         # elements of a kind: their name and that of the element around their first text
-        names = array("q", [(self.name(t) + 3 * self.name(tags[owner[lead[e]]]) & _M) >> 1 if lead[e] >= 0 else 0 for e, t in enumerate(tags)])
-        blob = array("i", [n, len(node)]).tobytes() + b"".join(x.tobytes() for x in (up, lead, own, links, node, owner, size, leaf_slot, names)) + kinds + what
+        order: dict[tuple[int, int], int] = {}
+        like = array("i", [order.setdefault((names[e], names[owner[t]]), len(order)) if t >= 0 else -1 for e, t in enumerate(lead)])
+        blob = array("i", [n, len(node)]).tobytes() + b"".join(x.tobytes() for x in (up, lead, own, links, like, node, owner, size, leaf_slot)) + kinds + what
         return [h - (1 << 63) for h in slots], zlib.compress(blob, 1)
 
 
-def _main(up, names, prose, titles, blocks) -> list[bool]:
+def credited(line: str) -> bool:
+    """Whether a line is words without the end of a sentence, then a sign and a date or running number, and perhaps more such words."""
+    m = _stamp.search(line, 3)
+    return m is not None and not _stop.search(line, 0, m.start()) and not _stop.search(line, m.end()) and (m.end() == len(line) or line[m.end()].isspace()) and not (line[m.start() - 1].isascii() and line[m.start() - 1].isalnum())
+
+
+def _main(up, like, prose, titles, blocks) -> list[bool]:
     """The elements that the main body is in: from the root down to the block that holds the page's own headline, else to those of one kind that hold most prose of the page's own."""
     n = len(up)
     kids: list[list[int]] = [[] for _ in range(n)]
@@ -176,11 +197,11 @@ def _main(up, names, prose, titles, blocks) -> list[bool]:
             continue
         kin: dict[int, int] = {}
         for c in kids[e]:
-            kin[names[c]] = kin.get(names[c], 0) + prose[c]
+            kin[like[c]] = kin.get(like[c], 0) + prose[c]
         most = max(kin, key=lambda k: kin[k])
         if kin[most] > prose[e] - sum(kin.values()):
             for c in kids[e]:
-                main[c] = names[c] == most
+                main[c] = like[c] == most
     return main
 
 
@@ -190,27 +211,28 @@ def decide(blob: bytes, flags: dict[int, int]) -> list[int]:
     n, m = array("i", data[:8])
     at = 8
 
-    def ints(count: int, code: str = "i") -> array:
+    def ints(count: int) -> array:
         nonlocal at
-        a = array(code)
-        z = at + count * a.itemsize
+        a = array("i")
+        z = at + 4 * count
         a.frombytes(data[at:z])
         at = z
         return a
 
-    up, lead, own, links = ints(n), ints(n), ints(n), ints(n)
+    up, lead, own, links, like = ints(n), ints(n), ints(n), ints(n), ints(n)
     node, owner, size, leaf_slot = ints(m), ints(m), ints(m), ints(m)
-    names = ints(n, "q")
     kinds, what = data[at : at + n], data[at + n :]
+    # a list without a class goes only as a whole, and so does a paragraph of more than links
+    blocks = [bool(k & BLOCK or links[e] >= 0 or k & WHOLE and k & CLASSED) for e, k in enumerate(kinds)]
+    block, side = list(blocks), [bool(k & (SIDE | CLASSED)) for k in kinds]
     # what an element has from those around it: whether a recurring block or a heading holds it
     covered, heading = [0] * n, [0] * n
     for e in range(n):
         u = up[e]
-        covered[e] = max(covered[u] if u >= 0 else 0, flags.get(own[e], 0) if kinds[e] & BLOCK else 0)
+        covered[e] = max(covered[u] if u >= 0 else 0, flags.get(own[e], 0) if block[e] else 0)
         heading[e] = kinds[e] & (HEADING | TITLE) | (heading[u] if u >= 0 else 0)
     # of each element: leaves, recurring leaves, characters of prose of the page's own, its own headlines, and whether it is or holds a block
     leaves, again, prose, titles = ([0] * n for _ in range(4))
-    blocks = [bool(kinds[e] & BLOCK) for e in range(n)]
     recurs = [0 if what[t] & QUIET else max(covered[owner[t]], flags.get(leaf_slot[t], 0)) for t in range(m)]
     for t, e in enumerate(owner):
         if not what[t] & QUIET:
@@ -228,17 +250,17 @@ def decide(blob: bytes, flags: dict[int, int]) -> list[int]:
             titles[u] += titles[e]
             blocks[u] = blocks[u] or blocks[e]
     # a block goes if it recurs as a whole, in half of its leaves or as a shape of links; by its first leaf only if it is marked as one beside the text
-    main = _main(up, names, prose, titles, blocks)
+    main = _main(up, like, prose, titles, blocks)
     gone = [False] * n
     for e in range(n):
         if up[e] >= 0 and gone[up[e]]:
             gone[e] = True
-        elif kinds[e] & (BLOCK | WHOLE) and leaves[e]:
+        elif (block[e] or kinds[e] & WHOLE) and leaves[e]:
             whole = flags.get(own[e], 0)
-            if main[e] or not kinds[e] & BLOCK:
+            if main[e] or not block[e]:
                 gone[e] = whole == OF_MOST
             else:
-                gone[e] = bool(whole or 2 * again[e] > leaves[e] or kinds[e] & SIDE and (recurs[lead[e]] and leaves[e] > 1 or 2 * again[e] >= leaves[e]) or links[e] in flags)
+                gone[e] = bool(whole or 2 * again[e] > leaves[e] or side[e] and (recurs[lead[e]] and leaves[e] > 1 or 2 * again[e] >= leaves[e]) or links[e] in flags)
     return [node[t] for t in range(m) if not what[t] & LEFT_OUT and not gone[owner[t]]]
 
 
@@ -271,7 +293,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if d != doc:
                 if doc is not None:
                     close()
-                doc, site, rows = d, s, []
+                doc, site, rows = d, None, []
+            site = site or s  # on the root alone
             if not rows or rows[-1][0] != k:
                 rows.append((k, p, t, v, c))
         if len(out) >= 500:
@@ -292,20 +315,17 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(nodes, pa.int32())], names=["doc_id", "node_id"])
 
 
-def recurring(pages: DataFrame, least_pages: int = LEAST_PAGES, least_hosts: int = LEAST_HOSTS) -> DataFrame:
-    """site, h, flag of the hashes that recur. A null site is one by the name of "", of which no page counts."""
+def recurring(pages: DataFrame, least_pages: int = LEAST_PAGES, least_hosts: int = LEAST_HOSTS) -> tuple[DataFrame, DataFrame]:
+    """k, flag of the hashes that recur over pages of their host (k is of host and hash), and k of those that recur over hosts. Pages without a site count as of no host."""
     at_least = lambda count, least, n, share: F.col(count) >= F.greatest(F.lit(least), F.ceil(F.col(n) * share))
-    site = F.coalesce("site", F.lit("")).alias("site")
     # a page has each of its hashes once, so rows are pages; a hot host or hash is added up before it is shuffled
-    per_host = pages.select(site, F.explode("hashes").alias("h")).groupBy("h", "site").agg(F.count(F.lit(1)).alias("pages"))
-    of_host = pages.select(site).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    named = F.col("site") != ""
-    over_hosts = per_host.filter(named).groupBy("h").agg(F.count(F.lit(1)).alias("hosts"))
-    over_hosts = over_hosts.filter(F.col("hosts") >= least_hosts).crossJoin(F.broadcast(of_host.filter(named).agg(F.count(F.lit(1)).alias("all")))).filter(at_least("hosts", least_hosts, "all", HOSTS_SHARE))
-    own = per_host.filter(named & (F.col("pages") >= least_pages)).join(of_host, "site").filter(at_least("pages", least_pages, "n", PAGES_SHARE))
-    own = own.select("site", "h", F.when(at_least("pages", least_pages, "n", BODY_SHARE), OF_MOST).otherwise(OF_HOST).alias("flag"))
-    far = per_host.join(over_hosts.select("h"), "h", "left_semi").select("site", "h", F.lit(OF_HOSTS).alias("flag"))
-    return own.unionByName(far).groupBy("site", "h").agg(F.max("flag").cast("byte").alias("flag"))
+    per_host = pages.filter("site is not null").select("site", F.explode("hashes").alias("h")).groupBy("h", "site").agg(F.count(F.lit(1)).alias("pages"))
+    of_host = pages.filter("site is not null").groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    own = per_host.join(of_host, "site").filter(at_least("pages", least_pages, "n", PAGES_SHARE))
+    own = own.select(_key(F.col("site"), F.col("h")).alias("k"), F.when(at_least("pages", least_pages, "n", BODY_SHARE), OF_MOST).otherwise(OF_HOST).cast("byte").alias("flag"))
+    hosts = per_host.groupBy("h").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= least_hosts)
+    far = hosts.crossJoin(F.broadcast(of_host.agg(F.count(F.lit(1)).alias("all")))).filter(at_least("hosts", least_hosts, "all", HOSTS_SHARE))
+    return own, far.select(F.col("h").alias("k"))
 
 
 def main_text_nodes(nodes: DataFrame, least_pages: int = LEAST_PAGES, least_hosts: int = LEAST_HOSTS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -317,20 +337,22 @@ def main_text_nodes(nodes: DataFrame, least_pages: int = LEAST_PAGES, least_host
     text = "kind = 'text' and value is not null and not coalesce(only_whitespace, false) and value <> ''"
     tag = F.when(F.col("kind") == "element", F.lower("name")).otherwise("").alias("t")
     has_class = F.coalesce(F.map_contains_key("attrs", F.lit("class")), F.lit(False)).alias("c")
-    rows = nodes.filter(f"kind = 'element' or ({text})").select("doc_id", "node_id", "parent_id", tag, F.when(F.col("kind") == "text", F.col("value")).alias("v"), has_class, "site")
+    rows = nodes.filter(f"kind = 'element' or ({text})").select("doc_id", "node_id", "parent_id", tag, F.when(F.col("kind") == "text", F.col("value")).alias("v"), has_class, F.when(F.col("parent_id") == 0, F.col("site")).alias("site"))
     pages = cut(rows.repartition("doc_id").sortWithinPartitions("doc_id", "node_id").mapInArrow(_read, _SCHEMA))
-    found = cut(recurring(pages, least_pages, least_hosts).select(_key(F.col("site"), F.col("h")).alias("k"), "flag"))
-    hashes = pages.select("doc_id", F.coalesce("site", F.lit("")).alias("site"), F.posexplode("hashes").alias("slot", "h"))
-    hashes = hashes.select("doc_id", _key(F.col("site"), F.col("h")).alias("k"), "slot")
-    on = ["k"]
-    if found.count() <= most_broadcast:
-        found = F.broadcast(found)
+    own, far = (cut(x) for x in recurring(pages, least_pages, least_hosts))
+    own, far = own.withColumnRenamed("flag", "own"), far.withColumn("far", F.lit(OF_HOSTS))
+    hashes = pages.select("doc_id", "site", F.posexplode("hashes").alias("slot", "h")).withColumn("k", _key(F.col("site"), F.col("h")))
+    own_on, far_on = ["k"], ["h"]
+    far = far.withColumnRenamed("k", "h")
+    if own.count() + far.count() <= most_broadcast:
+        own, far = F.broadcast(own), F.broadcast(far)
     else:
         # a hash on a third of all pages is spread over parts; only the few that recur are repeated for each
         hashes = hashes.withColumn("part", F.pmod("doc_id", F.lit(SALTS)).cast("int"))
-        found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = ["k", "part"]
-    flags = hashes.join(found, on).groupBy("doc_id").agg(F.collect_list(F.col("slot") * 4 + F.col("flag")).alias("found"))
+        own, far = (x.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) for x in (own, far))
+        own_on, far_on = ["k", "part"], ["h", "part"]
+    hashes = hashes.drop("site").join(own, own_on, "left").join(far, far_on, "left").filter("own is not null or far is not null")
+    flags = hashes.groupBy("doc_id").agg(F.collect_list(F.col("slot") * 4 + F.coalesce("own", "far")).alias("found"))
     return pages.select("doc_id", "tree").join(flags, "doc_id", "left").select("doc_id", "tree", "found").mapInArrow(_decide, "doc_id long, node_id int")
 
 
