@@ -1,13 +1,15 @@
 """Template residue and error-page text: placeholders, filler, error and access messages, notices that scripts are needed.
 
 Each distinct text is brought to one form and classified once, by placeholder rules, which need no recurrence, and by phrase rules: a message told by its whole
-wording needs none either, one told by some of its words only counts where it recurs over several sources.
+wording needs none either. What a page could also say of itself, or what only sounds like a message, counts where the text, its numbers, addresses and dates
+masked, recurs over several sources.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from re import _parser as _rules
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -20,28 +22,30 @@ from canopyq.session import cut
 
 #: Elements whose text is never a case.
 CODE_ELEMENTS = ("script", "style", "pre", "code")
-#: Sources over which a text must recur to count as a message by some of its words only.
-LEAST_SOURCES = 2
-#: Kinds that only count where they recur.
-UNSURE = ("scripts?",)
+#: Sources over which a text of an unsure kind must recur, and the kinds: notices told by some words only; filler that may be a title; and what only sounds like a message.
+LEAST_SOURCES = {"scripts?": 2, "filler?": 2, "message?": 3}
+UNSURE = tuple(LEAST_SOURCES)
+#: Rows up to which the distinct texts that are residue are broadcast (some 30 bytes each, counted first); beyond, they are joined by a shuffle over SALTS parts of each.
+MOST_BROADCAST, SALTS = 500_000, 32
 
 # What an unfilled placeholder looks like.
 _NAME = r"[^\W\d][\w.\-]*(?:\([^()\n]*\))?(?:\s*\|\s*\w+)*"
 PLACEHOLDER = re.compile(
-    r"\{\{[{#/^&>!]?\s*[^{}\n]{1,60}?\s*\}?\}\}"
+    r"\{\{[{#/^&>!]?\s*[^{}\n]+?\s*\}?\}\}"
     rf"|[$#]\{{\s*{_NAME}\s*\}}"
-    r"|<%[=\-]?[^%\n]{1,80}%>|&lt;%.{1,80}?%&gt;|<\?(?:php|=)[^?\n]{1,80}\?>"
-    r"|\{%-?\s*[^%\n]{1,80}%\}"
+    r"|<%[=\-]?[^%\n]+%>|&lt;%[^%\n]+%&gt;|<\?(?:php|=)[^?\n]+\?>"
+    r"|\{%-?\s*[^%\n]+%\}"
     rf"|\[\[\s*{_NAME}\s*\]\]"
-    r"|\*\|[^*\n]{1,60}\|\*"
+    r"|\*\|[^*\n]+\|\*"
     rf"|@@\s*{_NAME}\s*@@"
     rf"|%\(\s*{_NAME}\s*\)[sdif]"
     r"|(?<![\w%])%[^\W\d]\w*(?:[.\-]\w+)*%(?!\w)|%[^\W\d]\w*(?:\([^()\n]*\)|(?:\.\w+)+(?:\s*\|\s*\w+)?)%"
     r"|(?<![\w$])\$[^\W\d][\w.\-]*(?:\([^()\n]*\))?(?:\s*\|\s*\w+)?\$(?!\w)"
     rf"|(?<!\w)__{_NAME}?__(?!\w)"
-    r"|(?<!\w)__[^\W\d](?:(?!__)[^\n]){0,50}__(?!\w)"
+    r"|(?<!\w)__[^\W\d](?:(?!__)[^\n])*__(?!\w)"
     rf"|\{{\s*[^\W\d][\w.\-]*(?:\([^()\n]*\)|\s*\|\s*\w+)?\s*\}}"
-    r"|\[\s*(?:insert|enter|add|your|put)\s[^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,60}\s(?:goes\s+)?here\]"
+    r"|\[\s*(?:insert|enter|add|your|put)\s[^\[\]\n]+\]|\[[^\[\]\n]+\s(?:goes\s+)?here\]"
+    r"|\[\s*(?:(?:first|last|full|middle|user|company|customer|client|recipient|sender|product|event|job|city|country)[ _]?(?:name|number|address|title|date|e-?mail)|(?:your|the)[ _]\w+)\s*\]"
     r"|\[object Object\]",
     re.I,
 )
@@ -50,13 +54,12 @@ PLACEHOLDER = re.compile(
 _THING = r"(?:text|copy|title|heading|headline|caption|description|name|content|paragraph|label|image|quote|summary|subtitle|intro)"
 _FILLER = [
     r"(?:todo|tbd|tba|tbc|fixme|nan|undefined|null|none|n/a)(?:: .*)?",
-    r"todo:? .{0,60}",
-    rf"(?:placeholder|dummy|sample|example|your|insert|enter|add|edit|default|untitled)(?: an?| your| the| some)? {_THING}(?: {_THING})?(?: here| goes here| to be added| 0)?",
-    rf"{_THING} (?:goes )?here|{_THING} (?:to be added|to come|coming soon|0)",
+    r"todo (?:add|change|check|fill|fix|insert|replace|translate|update|write)\b.*",
+    rf"(?:placeholder|dummy|sample|example|your|insert|enter|add|edit|default|untitled)(?: an?| your| the| some)? {_THING}(?: {_THING})?(?: here| goes here| to be added)?",
+    rf"{_THING} (?:goes )?here|{_THING} (?:to be added|to come|coming soon)",
     r"(?:sample text ?)+|(?:test ?){2,}0?|(?:asdf ?)+|(?:qwerty ?)+|x{3,}(?: x+)*|(?:foo|bar|baz)(?: (?:foo|bar|baz))*",
-    r"click here to (?:edit|add|change)\b.{0,40}",
-    r"(?:this is )?(?:a )?(?:sample|dummy|placeholder|filler) (?:text|copy)(?: .{0,40})?",
-    r"coming soon|under construction",
+    r"click here to (?:edit|add|change)\b[^.!?]*",
+    r"(?:this is )?(?:a )?(?:sample|dummy|placeholder|filler) (?:text|copy)(?: [^.!?]*)?",
     r"texte (?:à venir|d'exemple|de remplissage)|votre texte ici|texto de (?:ejemplo|relleno|exemplo)|(?:su|tu) texto aquí|seu texto aqui",
     r"hier steht ihr text|ihr text hier|beispieltext|platzhalter(?:text)?|mustertext|blindtext",
     r"здесь будет (?:ваш|ваша)? ?(?:текст|заголовок|описание)|ваш текст здесь|пример текста|текст-заполнитель",
@@ -64,6 +67,8 @@ _FILLER = [
     r"testo (?:di esempio|segnaposto)|il tuo testo qui|tekst przykładowy|tutaj wpisz tekst|twój tekst tutaj|örnek metin|metniniz buraya|văn bản mẫu",
 ]
 FILLER = re.compile("(?:" + "|".join(_FILLER) + ")")
+#: What a page could also say of itself, or call its parts.
+MAYBE_FILLER = re.compile(rf"coming soon|under construction|(?:(?:placeholder|dummy|sample|example|your|default|untitled) )?{_THING} 0")
 #: Words of Latin filler, of which most of a text must be made.
 LATIN_FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
@@ -86,17 +91,35 @@ _DOWN = (
 )
 _SAID = f"(?:{_GONE}|{_DOWN})"
 _BEFORE = r"(?:(?:http(?:/0)? ?)?(?:error|erreur|fehler|ошибка|erro|errore|błąd|hata|エラー|错误|오류)? ?0?(?: ?[:：–—-] ?| )|(?:error|erreur|fehler|ошибка|erro|errore|http) ?[:：-]? ?|(?:oops|sorry|apologies|whoops|désolé|lo sentimos|извините|простите|entschuldigung|leider|desculpe|spiacenti|przepraszamy|üzgünüz|xin lỗi|抱歉|对不起|申し訳ありません|죄송합니다)[!,.:;。，、 -]*)"
-_AFTER = r"(?:[.!。！?…]*(?: (?:ray|reference id|ref(?:erence)?|request id|incident|code)[ :#].{0,40}| please (?:sign|log) in again| (?:please )?try again(?: later)?)?[.!。！…]*)"
+_AFTER = r"(?:[.!。！?…]*(?: (?:ray|reference id|ref(?:erence)?|request id|incident|code)[ :#][^.!?]*| please (?:sign|log) in again| (?:please )?try again(?: later)?)?[.!。！…]*)"
+_FAULT = r".{0,3}[:：] ?(?:call to|undefined|could not|cannot|can't|failed|unable|unexpected|unknown|no such|invalid|access denied|connection|division by).*"
 _ERRORS = [
     rf"{_BEFORE}{{0,2}}{_SAID}{_AFTER}",
-    rf"(?:http )?0 (?:forbidden|not found|unauthorized|bad gateway|ok|{_DOWN}){_AFTER}",
+    rf"(?:http )?0 (?:forbidden|not found|unauthorized|bad gateway|{_DOWN}){_AFTER}",
+    rf"(?:http )?0 ok{_AFTER}",
     rf"(?:access|permission) (?:denied|forbidden)(?: to this (?:page|resource|server))?{_AFTER}|accès refusé{_AFTER}|zugriff verweigert{_AFTER}|acceso denegado{_AFTER}|доступ запрещ[её]н{_AFTER}|アクセスが拒否されました{_AFTER}|拒绝访问{_AFTER}",
     rf"your session (?:has )?(?:expired|timed out){_AFTER}|(?:votre session a expiré|ihre sitzung ist abgelaufen|su sesión ha (?:caducado|expirado)|время сессии истекло|セッションの有効期限が切れました|会话已过期){_AFTER}",
-    rf"(?:checking (?:if )?your browser|verifying (?:that )?you are (?:a )?human|just a moment|please wait while we (?:check|verify)).{{0,60}}{_AFTER}",
-    r"(?:error 0|fatal error|uncaught (?:exception|error|typeerror|referenceerror)|(?:parse|syntax|runtime|database) error|warning|notice|exception|traceback).{0,3}[:：] ?(?:call to|undefined|could not|cannot|can't|failed|unable|unexpected|unknown|no such|invalid|access denied|connection|division by).{0,160}",
-    r"traceback \(most recent call last\).*|at [\w.$]+\(.{1,60}:0\).*",
+    rf"(?:checking (?:if )?your browser|verifying (?:that )?you are (?:a )?human|just a moment|please wait while we (?:check|verify))[^.!?]*{_AFTER}",
+    rf"(?:error 0|fatal error|uncaught (?:exception|error|typeerror|referenceerror)|(?:parse|syntax|runtime|database) error){_FAULT}",
+    rf"(?:warning|notice|exception){_FAULT}(?:\bline 0|\bcode 0|@).*",
+    r"traceback \(most recent call last\).*|at [\w.$]+\([^()]*:0\).*",
 ]
 ERRORS = re.compile("(?:" + "|".join(_ERRORS) + ")")
+#: What sounds like a message, sentence by sentence: it must also recur over sources.
+_MAYBE = [
+    rf"(?:warning|notice|exception){_FAULT}",
+    r"(?:(?:sorry|oops|whoops|uh[ -]oh|apologies)[!,. -]*)?(?:something|(?:an?|the) (?:\w+ )?(?:error|problem|exception|issue)) (?:has |have )?(?:went|gone|occurred|happened|was encountered)(?: wrong)?(?: (?:while|when|during|on|in|with|at|processing) .*)?",
+    r"(?:(?:http|error)(?:/0)? ?)?0 ?[:–—-]? ?(?:gone|conflict|moved permanently|method not allowed|not acceptable|request time-?out|payment required|payload too large|unprocessable entity|not implemented|insufficient storage)",
+    r"(?:sorry|oops|whoops|uh[ -]oh|apologies)[!,. -]*(?:we|this|that|the|your|you|there|it)\b.*(?:n't|not|unable|unavailable|failed|error|problem|moved|removed|expired|blocked|missing).*",
+    r"(?:(?:please|kindly) )?(?:try (?:again|reloading|refreshing)|check back|come back|reload (?:the|this) page|refresh (?:the|this) page|go back to the home ?page|return to the home ?page)\b.*",
+    r"(?:we|it|the (?:page|server|site)) (?:could not|couldn't|cannot|can't|(?:was|were) unable to|failed to) (?:load|find|open|process|complete|reach|connect|display|access|retrieve|fetch)\b.*",
+    r"(?:we(?:'re| are)|(?:this|the|our)(?: requested)? (?:site|website|page|service|server|content|resource|link|application|system|request)(?: \w+)*? (?:is|was|has been|are|cannot be|can't be|could not be|couldn't be)) (?:currently |temporarily )?(?:unavailable|not available|offline|down|blocked|closed|moved|removed|expired|broken|loaded|displayed|processed|completed|under maintenance|down for maintenance|undergoing maintenance)\b.*",
+    r"(?:your|the|this) (?:request|connection|access|browser|account|ip(?: address)?|link) (?:has been |was |is |has |could not be )(?:blocked|denied|refused|rejected|expired|timed out|suspended|not supported|unsupported|no longer supported|outdated|processed)\b.*",
+    r"you (?:do not|don't|are not|have not|must) (?:have (?:permission|access)|authori[sz]ed|allowed|permitted|be (?:logged|signed) in)\b.*|(?:connection|request|operation|gateway|session) (?:timed out|refused|reset|expired|failed)\b.*",
+    r"(?:please )?(?:verify|confirm|prove) (?:that )?you are (?:a )?(?:human|not a robot)\b.*|(?:complete|solve) the captcha\b.*|unusual traffic\b.*",
+]
+_EXCLAIMS = re.compile(r"(?:sorry|oops|whoops|uh[ -]oh|apologies|error|attention|warning|notice)[!.:… ]*")
+MAYBE = re.compile("(?:" + "|".join(_MAYBE) + ")")
 #: What longer error messages say besides, sentence by sentence.
 DETAILS = re.compile(
     r"(?:not found|forbidden|internal server error|bad gateway|proxy error|service unavailable) the (?:requested|server|proxy|web ?server) .*|the requested (?:url|page|resource|file|address)(?: \S+)? (?:was|could|is) not .*"
@@ -119,16 +142,7 @@ _ASK = re.compile(
 )
 _SKILLS = re.compile(r"\bskills?\b|\bcourses?\b|\bteach\b|\blisted\b|\bcounts? as\b")
 
-_opens = re.compile(r"[{<%\[$]|\*\||@@|__")
-#: Of each phrase rule above, words of which it needs one.
-_KEYS = (
-    "todo|tbd|tba|tbc|fixme|nan|undefined|null|none|n/a|placeholder|dummy|sample|example|your|insert|enter|add|edit|default|untitled| here|to be added|to come|coming soon|test|asdf|qwerty|xxx|foo|bar|baz|filler|under construction"
-    "|texte|votre|texto|ihr text|beispiel|platzhalter|muster|blindtext|текст|заголов|описан|テキスト|文字|内容|文本|텍스트|내용|testo|tekst|metin|văn bản mẫu"
-    "|heading 0|title 0|lorem|ipsum|dolor|amet|elit|aliqua|tempor|magna|veniam|quis|nostrud|labore|consectetur|enim|minim|adipiscing"
-    "|found|page|introuvable|seite|página|pagina|страниц|stron|sayfa|trang|ページ|页面|페이지|الصفحة|صفحه|σελίδα|पृष्ठ|หน้า|server|service|dienst|servidor|servizio|serv|serwera|sunucu|сервис|сервера|サーバ|服务器|서버|too many|request|gateway"
-    "|forbidden|denied|unauthorized|session|sitzung|sesión|сессии|セッション|会话|browser|verifying|moment|error|exception|warning|notice|traceback|refusé|verweigert|denegado|запрещ|アクセス|拒绝|http"
-    "|javascript|java script|js|script|skript|скрипт|スクリプト|脚本|자바스크립트|스크립트|heading|headline|title|caption|description|paragraph|label|image|quote|summary|subtitle|intro|name|copy|click"
-)
+_opens = re.compile(r"[{<%\[$]|\*\||@@|__|&lt;%")
 _url = re.compile(r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w/])(?:/[\w.~-]+){2,}/?|\b[a-z]:\\[\w\\.~-]+|\b(?:\d{1,3}\.){3}\d{1,3}\b", re.I)
 _date = re.compile(r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
 _number = re.compile(r"\d+(?:[.,]\d+)*")
@@ -145,12 +159,43 @@ def masked(form: str) -> str:
     return _space.sub(" ", s).strip().lower()
 
 
+def _literals(parsed) -> frozenset[str] | None:
+    """Of a parsed rule, strings of which every match holds at least one; None if it may hold none. Digits are masked in what rules see, so they are in none."""
+    best: frozenset[str] | None = None
+    run = ""
+
+    def offer(found: frozenset[str] | None) -> None:
+        nonlocal best
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, arg in [*parsed, (None, None)]:
+        if op is _rules.LITERAL and not chr(arg).isdigit() and chr(arg) != "@":
+            run += chr(arg)
+            continue
+        offer(frozenset({run}) if run else None)
+        run = ""
+        if op is _rules.SUBPATTERN:
+            offer(_literals(arg[3]))
+        elif op is _rules.BRANCH:
+            sets = [_literals(b) for b in arg[1]]
+            offer(None if None in sets else frozenset().union(*sets))
+        elif op in (_rules.MAX_REPEAT, _rules.MIN_REPEAT) and arg[0] > 0:
+            found = _literals(arg[2])
+            offer(found and frozenset(w * arg[0] for w in found) if len(arg[2]) == 1 and arg[2][0][0] is _rules.LITERAL else found)
+    return best
+
+
 @functools.cache
 def _quick() -> ahocorasick.Automaton:
-    """Words of which every phrase rule needs one."""
+    """Strings of which every text that some rule matches holds one, taken from the rules themselves."""
+    words = {w for w in LATIN_FILLER if len(w) > 3}
+    for rule in (FILLER, MAYBE_FILLER, ERRORS, MAYBE, _SCRIPTS):
+        words |= _literals(_rules.parse(rule.pattern)) or frozenset()
     a = ahocorasick.Automaton()
-    for w in _KEYS.split("|"):
-        a.add_word(w, True)
+    for w in words:
+        if not any(v != w and v in w for v in words):
+            a.add_word(w, True)
     a.make_automaton()
     return a
 
@@ -166,19 +211,18 @@ def _most(parts: list[str], rule: Callable[[str], object]) -> bool:
 
 
 def whole(text: str) -> str:
-    """"placeholder", "filler", "message", "scripts" or "" of a text, by rules that need no recurrence. The text is in its one form."""
+    """"placeholder", "filler", "message", "scripts", one of the UNSURE kinds, or "" of a text. The text is in its one form."""
     if _opens.search(text) and PLACEHOLDER.search(text):
         return "placeholder"
-    low = text.lower()
-    if next(_quick().iter(low), None) is None:
+    if next(_quick().iter(" ".join(text.lower().split())), None) is None:
         return ""
     bare = _ends.sub("", masked(_site.sub("", text)))
-    parts = [p for p in re.split(r"\s*[|]\s*", bare) if p]
-    if parts and all(FILLER.fullmatch(p) or FILLER.fullmatch(_numbered.sub("", p)) for p in (q.rstrip(" .!…:") for q in parts)):
+    parts = [q.rstrip(" .!…:") for q in re.split(r"\s*[|]\s*", bare) if q]
+    if parts and all(FILLER.fullmatch(p) or FILLER.fullmatch(_numbered.sub("", p)) for p in parts):
         return "filler"
     words = re.findall(r"[^\W\d_]+", bare)
     latin = sum(w in LATIN_FILLER for w in words)
-    if words and (latin >= 0.8 * len(words) and (len(words) > 3 or "lorem" in words or "ipsum" in words)):
+    if words and latin >= 0.8 * len(words) and (len(words) > 3 or "lorem" in words or "ipsum" in words) and any(len(w) > 3 and w in LATIN_FILLER for w in words):
         return "filler"
     if ERRORS.fullmatch(bare):
         return "message"
@@ -189,6 +233,11 @@ def whole(text: str) -> str:
         # a notice is about scripts, or about how to turn them on, in most of its sentences
         if _most(said, lambda p: sum(r.search(p) is not None for r in (_SCRIPTS, _ENABLE, _ASK)) > 1):
             return "scripts" if any(_SCRIPTS.search(p) and _ASK.search(p) for p in said) else "scripts?"
+    if parts and all(MAYBE_FILLER.fullmatch(p) for p in parts):
+        return "filler?"
+    said = [p for p in said if not _EXCLAIMS.fullmatch(p)]
+    if _most(said, lambda p: MAYBE.fullmatch(p.rstrip(".!…。 ")) or ERRORS.fullmatch(p) or DETAILS.fullmatch(p)):
+        return "message?"
     return ""
 
 
@@ -209,19 +258,32 @@ def masked_hash(value: Column) -> list[Column]:
     return [F.xxhash64(v).alias("h1"), F.xxhash64(v, F.lit(1)).alias("h2")]
 
 
-def residue(texts: DataFrame, least_sources: int = LEAST_SOURCES) -> DataFrame:
+def _with(rows: DataFrame, found: DataFrame, on: list[str], most_broadcast: int) -> DataFrame:
+    """rows joined with a table of one row per key. A key that a third of all rows have is no single task: the table is broadcast if it is small, else rows are spread over parts."""
+    if found.count() <= most_broadcast:
+        return rows.join(F.broadcast(found), on)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("doc_id", "node_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(found.withColumn("__part", parts), [*on, "__part"]).drop("__part")
+
+
+def residue(texts: DataFrame, least_sources: dict[str, int] = LEAST_SOURCES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The rows of ``texts`` (doc_id, node_id, value, site) that are residue: doc_id, node_id, kind, sources, each node once.
 
-    kind is placeholder, filler, message or scripts; sources is the number of sites over which the masked text recurs, near enough. Null and
+    kind is placeholder, filler, message or scripts; sources is the number of sites over which the masked text recurs. Null and
     empty values are never cases; a null site counts as no source.
     """
     own = [F.xxhash64("value").alias("v1"), F.xxhash64("value", F.lit(1)).alias("v2")]
-    t = texts.filter("value is not null").select("doc_id", "node_id", "site", "value", *own, *masked_hash(F.col("value")))
     # each distinct text is classified as it stands, whatever others share its mask; one that fills a third of the rows is one row of its partition before anything is shuffled
-    kinds = t.groupBy("v1", "v2").agg(F.min("value").alias("value")).mapInPandas(_classify, "v1 long, v2 long, kind string")
-    found = cut(t.select("doc_id", "node_id", "site", "h1", "h2", "v1", "v2").join(kinds, ["v1", "v2"]).drop("v1", "v2"))
-    sources = found.groupBy("h1", "h2", "kind").agg(F.approx_count_distinct("site").alias("sources")).filter((F.col("kind") != "scripts?") | (F.col("sources") >= least_sources))
-    rows = found.drop("site").join(sources, ["h1", "h2", "kind"]).withColumn("kind", F.regexp_replace("kind", r"\?$", ""))
+    kinds = texts.filter("value <> ''").select("value").distinct().select(*own, "value").mapInPandas(_classify, "v1 long, v2 long, kind string")
+    rows = texts.filter("value <> ''").select("doc_id", "node_id", "site", "value", *own)
+    found = _with(rows, cut(kinds), ["v1", "v2"], most_broadcast)
+    found = cut(found.select("doc_id", "node_id", "site", "kind", *masked_hash(F.col("value"))))
+    # exact: first each source once, then the sources of a text
+    each = found.filter("site is not null").groupBy("h1", "h2", "kind", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2", "kind").agg(F.count(F.lit(1)).alias("sources"))
+    sources = cut(found.select("h1", "h2", "kind").distinct().join(each, ["h1", "h2", "kind"], "left").withColumn("sources", F.coalesce("sources", F.lit(0).cast("long"))))
+    least = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in least_sources.items() for x in pair]), F.col("kind")), F.lit(0))
+    rows = _with(found.drop("site"), sources.filter(F.col("sources") >= least), ["h1", "h2", "kind"], most_broadcast).withColumn("kind", F.regexp_replace("kind", r"\?$", ""))
     return rows.select("doc_id", "node_id", "kind", "sources").dropDuplicates(["doc_id", "node_id"])
 
 
