@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyq.plans.compiler import ATOMIC_RANK, NODE, TYPE_NAMES, Compiler, Seq, UnsupportedError, as_text
+from canopyq.plans.compiler import ATOMIC_RANK, NODE, TYPE_NAMES, Compiler, Seq, UnsupportedError
 from canopyq.xpath import constant, parser
 
 MODES = ("FAILFAST", "PERMISSIVE")
@@ -51,15 +51,14 @@ def _run(c: Compiler, t: tuple, ctx: Seq, keys: list[str]) -> DataFrame:
         if c.gives_nodes(item):
             parts.append(_run(c, item, ctx, keys))
             continue
-        df, v = c.operand(item, ctx.df, ctx)
-        if v.n is not None:
-            df = df.filter(v.n > 0)
         row = [F.lit(ATOMIC_RANK).cast("byte").alias("kind_rank"), F.lit(None).cast("int").alias("node_id"), F.lit("atomic").alias("kind"), F.lit(None).cast("string").alias("name")]
-        parts.append(df.select(*keys, *row, as_text(v).alias("value"), F.lit(TYPE_NAMES[v.type]).alias("item_type")))
+        for df, ty in c.atoms(item, ctx):
+            parts.append(df.select(*keys, *row, F.col("v").alias("value"), F.lit(TYPE_NAMES[ty]).alias("item_type")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.dropDuplicates() if len(parts) > 1 else out
+    # the items of a document are a set
+    return out.dropDuplicates() if len(parts) > 1 or t[0] in ("path", "map", "for", "if", "let", "paren", "call", "arrow") else out
 
 
 def find(nodes: DataFrame, expression: str, *, ordered: bool = True, mode: str = "FAILFAST", spec: bool = False, lenient: bool = False, repeated: bool = False) -> DataFrame:
