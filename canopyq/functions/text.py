@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.html.lexer import WHITE
 from canopyq.html.tree import VOID
+from canopyq.plans.strings import string_values
 
 FORMATS = ("standard", "ignore_whitespace", "indented")
 _white = f"[{WHITE}]"
@@ -28,11 +28,12 @@ def _ordered(values: Column, order: Column) -> Column:
 
 def text_content(nodes: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, text_content of each item: its texts put together without a separator; "" for attributes and for items without text."""
-    joined = itertext(nodes, items).groupBy("doc_id", "item_id").agg(F.array_join(_ordered(F.col("value"), F.col("node_id")), "").alias("t"))
     start = items.select("doc_id", F.col("node_id").alias("item_id")).distinct()
-    own = nodes.filter("kind = 'text'").select("doc_id", F.col("node_id").alias("item_id"), F.col("value").alias("own")).distinct()
-    out = start.join(joined, ["doc_id", "item_id"], "left").join(own, ["doc_id", "item_id"], "left")
-    return out.select("doc_id", "item_id", F.coalesce("own", "t", F.lit("")).alias("text_content"))
+    own = nodes.select("doc_id", F.col("node_id").alias("item_id"), F.col("last_desc").alias("nlast"), "kind", F.when(F.col("kind") == "text", F.col("value")).alias("own"))
+    start = start.join(own.dropDuplicates(["doc_id", "item_id"]), ["doc_id", "item_id"], "left")
+    texts = nodes.filter("kind = 'text'").select("doc_id", "node_id", "value").dropDuplicates(["doc_id", "node_id"])
+    below = string_values(texts, start.filter("kind in ('element', 'document')").select("doc_id", F.col("item_id").alias("nid"), "nlast")).withColumnRenamed("nid", "item_id")
+    return start.join(below, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.coalesce("own", "text", F.lit("")).alias("text_content"))
 
 
 def text(nodes: DataFrame, items: DataFrame) -> DataFrame:
@@ -110,38 +111,6 @@ def display() -> Column:
     return F.when(F.col("kind") == "document", F.lit("document")).when(F.col("kind") == "element", tag).when(F.col("kind") == "attribute", F.concat(name, F.lit('="'), value, F.lit('"'))).otherwise(value)
 
 
-def _write(form: str):
-    from canopyq.html.tree import escape
-
-    def tag(name: str, attrs) -> str:
-        return "<" + name + "".join(f' {k}="{v}"' for k, v in (attrs or {}).items()) + ">"
-
-    def one(f: pd.DataFrame) -> str:
-        out: list[str] = []
-        open_tags: list[tuple[str, int, int]] = []
-        line = (lambda level, s: out.append("    " * level + s + "\n")) if form == "indented" else (lambda level, s: out.append(s))
-
-        def close(upto: int) -> None:
-            while open_tags and open_tags[-1][1] < upto:
-                name, _, level = open_tags.pop()
-                line(level, f"</{name}>")
-
-        f = f.drop_duplicates("node_id").sort_values("node_id")
-        for node_id, kind, name, value, blank, level, last, attrs in f[["node_id", "kind", "name", "value", "only_whitespace", "level", "last_desc", "attrs"]].itertuples(index=False):
-            close(node_id)
-            if kind == "element":
-                attrs = dict(attrs) if attrs is not None else {}
-                line(level - 1, tag(name, attrs))
-                if name not in VOID:
-                    open_tags.append((name, last, level - 1))
-            elif kind == "text" and value is not None and not (blank and form != "standard"):
-                line(level - 1, escape(value.strip(" \t\r\n\f\v") if form == "indented" else value))
-        close(1 << 31)
-        return "".join(out)
-
-    return one
-
-
 def to_html(nodes: DataFrame, form: str = "standard") -> DataFrame:
     """doc_id, html: each document as a string. Text is escaped, attribute values are not, void elements have no end tag.
 
@@ -150,13 +119,22 @@ def to_html(nodes: DataFrame, form: str = "standard") -> DataFrame:
     """
     if form not in FORMATS:
         raise ValueError(f"form is one of {FORMATS}")
-    one = _write(form)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": [f["doc_id"].iloc[0]], "html": [one(f)]})
-
-    rows = nodes.filter("kind in ('element', 'text')").select("doc_id", "node_id", "kind", "name", "value", "only_whitespace", "level", "last_desc", "attrs")
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, html string")
+    name = F.coalesce("name", F.lit(""))
+    attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), F.coalesce(e["value"], F.lit("")), F.lit('"'))), "")
+    value = F.btrim("value", F.lit(" \t\r\n\f\v")) if form == "indented" else F.col("value")
+    opening = F.when(F.col("kind") == "element", F.concat(F.lit("<"), name, F.coalesce(attrs, F.lit("")), F.lit(">"))).otherwise(escaped(value))
+    closing = F.concat(F.lit("</"), name, F.lit(">"))
+    if form == "indented":
+        opening, closing = (F.concat(F.repeat(F.lit("    "), F.col("level") - 1), s, F.lit("\n")) for s in (opening, closing))
+    # an element's end tag stands after its last node; of elements that end together the inner one ends first
+    piece = lambda at, inner, s: F.struct(at.alias("at"), inner.alias("inner"), s.alias("s"))
+    begin = piece(F.col("node_id"), F.lit(-(1 << 31)), opening)
+    end = piece(F.col("last_desc"), -F.col("node_id"), closing)
+    ends = (F.col("kind") == "element") & ~F.col("name").isin(*sorted(VOID))
+    rows = nodes.filter("kind = 'element' or kind = 'text' and value is not null" + ("" if form == "standard" else " and not coalesce(only_whitespace, false)"))
+    rows = rows.dropDuplicates(["doc_id", "node_id"])
+    pieces = rows.select("doc_id", F.explode(F.when(ends, F.array(begin, end)).otherwise(F.array(begin))).alias("p"))
+    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["s"]), "").alias("html"))
 
 
 __all__ = ["attributes", "children", "display", "escaped", "get_all_text", "get_attribute", "get_text", "itertext", "parent", "text", "text_content", "to_html", "trim_internal_whitespace"]

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from canopyq.plans.strings import string_values
+
 NODE = ["node_id", "parent_id", "kind", "kind_rank", "name", "value", "last_desc", "attrs"]
 #: Ranks of atomic types: across types the rank decides a comparison.
 BOOLEAN, INTEGER, FLOAT, DOUBLE, STRING = range(5)
@@ -384,12 +386,28 @@ class Compiler:
         if p[0] == "path" or p[0] == "step":
             if (one := self.local_attribute(p)) is not None:
                 return df.filter((F.col("kind") == "element") & F.map_contains_key("attrs", one))
+            if not self.positional(p) and cand.keys == ["doc_id"] and (step := self.below(p)) is not None:
+                # nodes above some node that the step finds: one sweep of the document
+                found = self.step("//", step, self.documents(), cand)
+                up = self.sweep("ancestor", ("kind", "node", None), found).df.select("doc_id", "node_id")
+                return df.join(up, ["doc_id", "node_id"], "left_semi")
             if not self.positional(p):
                 inner = self.related(p, df)
                 return df.join(inner.df.select(*inner.keys).distinct().withColumnsRenamed({"ck": "node_id"}), self.on(inner.keys), "left_semi")
         rows, cond = self.truth(p, df, cand, position=True)
         return rows.filter(cond).select(*columns)
 
+    def below(self, p: tuple) -> tuple | None:
+        """The step, if an expression is just nodes at any depth below the candidate, without positions."""
+        match p:
+            case ("path", "", [("", ("dot",)), ("//", ("step", "child", test, found, sign))]):
+                pass
+            case ("path", "", [("", ("step", "descendant", test, found, sign))]):
+                pass
+            case _:
+                return None
+        return None if any(self.positional(q) or uses_variable(q) for q in found) else ("step", "child", test, found, sign)
+
     def local_attribute(self, p: tuple) -> str | None:
         """The name, if the expression is just an attribute of the candidate by name."""
         if p[0] == "path" and p[1] == "" and len(p[2]) == 1:
@@ -463,11 +481,11 @@ class Compiler:
 
     def with_text(self, many: DataFrame, keys: list[str]) -> DataFrame:
         """String values: of elements and documents the text below them, in document order."""
-        t = self.once(self.nodes.filter("kind = 'text'").select("doc_id", "node_id", "value")).select(F.col("doc_id").alias("td"), F.col("node_id").alias("ti"), F.col("value").alias("tv"))
-        holds = (F.col("td") == F.col("doc_id")) & (F.col("ti") > F.col("nid")) & (F.col("ti") <= F.col("nlast")) & F.col("kind").isin("element", "document")
-        g = many.join(t, holds, "left").groupBy(*keys, "nid", "kind", "value").agg(F.sort_array(F.collect_list(F.struct("ti", "tv"))).alias("ts"))
-        text = F.array_join(F.transform("ts", lambda x: x["tv"]), "")
-        return g.select(*keys, "nid", F.when(F.col("kind").isin("element", "document"), text).otherwise(F.col("value")).alias("value"))
+        holds = F.col("kind").isin("element", "document")
+        texts = self.once(self.nodes.filter("kind = 'text'").select("doc_id", "node_id", "value"))
+        below = string_values(texts, many.filter(holds).select("doc_id", "nid", "nlast").distinct())
+        out = many.join(below, ["doc_id", "nid"], "left").withColumn("value", F.when(holds, F.coalesce("text", F.lit(""))).otherwise(F.col("value")))
+        return out.drop("text")
 
     def operand(self, t: tuple, df: DataFrame, cand: Seq) -> tuple[DataFrame, Operand]:
         match t:
