@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyq import api
+from canopyq import api, further
 from canopyq.functions import text
 from canopyq.operators import packed
 from canopyq.session import table, tuned
@@ -225,8 +225,8 @@ _OTHERS: dict[str, tuple[Query, str | None]] = {
     "parse_void": (parse_void, None),
     "parse_strict_errors": (parse_strict_errors, None),
     "find_on_pages": (find_on_pages, N + f"SELECT DISTINCT x.doc_id, x.node_id, x.name FROM n x JOIN n a ON {_in} WHERE x.name = 'a' AND {_el} AND a.name = 'nav' AND a.kind = 'element'"),
-    "round_trip": (round_trip, None),
-    "round_trip_indented": (round_trip_indented, None),
+    "round_trip": (round_trip, further.written()),
+    "round_trip_indented": (round_trip_indented, further.written(" AND NOT coalesce(only_whitespace, false)", True)),
     "relative": (relative, N + f"SELECT DISTINCT x.doc_id, a.node_id AS item_id, x.node_id FROM n x JOIN n a ON {_in} WHERE x.name = 'a' AND {_el} AND a.name = 'ul' AND a.kind = 'element'"),
     "h1_text_content": (h1_text_content, N + f"SELECT x.doc_id, x.node_id AS item_id, {_string} AS text_content FROM n x WHERE {_el} AND x.name = 'h1'"),
     "p_text": (p_text, N + f"SELECT x.doc_id, x.node_id AS item_id, (SELECT arg_min(t.value, t.node_id) FROM n t WHERE t.doc_id = x.doc_id AND t.parent_id = x.node_id AND t.kind = 'text') AS text FROM n x WHERE {_el} AND x.name = 'p'"),
@@ -246,10 +246,10 @@ _OTHERS: dict[str, tuple[Query, str | None]] = {
 def queries() -> dict[str, Query]:
     out = {name: _path(e) for name, (e, _) in PATHS.items()}
     out |= {name: _value(e) for name, (e, _) in VALUES.items()}
-    return out | {name: q for name, (q, _) in _OTHERS.items()}
+    return out | {name: q for name, (q, _) in _OTHERS.items()} | further.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: N + sql for name, (_, sql) in PATHS.items()}
     out |= {name: N + f"SELECT d.doc_id, {sql} AS value FROM n d WHERE d.kind = 'document'" for name, (_, sql) in VALUES.items()}
-    return out | {name: sql for name, (_, sql) in _OTHERS.items() if sql}
+    return out | {name: sql for name, (_, sql) in _OTHERS.items() if sql} | further.oracle_sql()

@@ -8,7 +8,7 @@ import __spark_entry__
 from canopyq import queries
 
 DATA = Path("/root/testdata/sf0.001")
-NAMES = ("links", "second_item", "shared_position", "string_value_equals", "absolute_in_predicate", "every", "if", "arithmetic", "page_errors", "parse_pages", "p_get_all_text", "tags_by_site", "relative")
+NAMES = ("links", "second_item", "shared_position", "string_value_equals", "absolute_in_predicate", "every", "if", "arithmetic", "page_errors", "parse_pages", "p_get_all_text", "tags_by_site", "relative", "round_trip", "round_trip_indented", "parsed_values", "sorted_items", "evaluation_errors", "any_of_several", "two_variables", "node_is", "range", "data", "joined", "last_click", "overlapping_elements", "top_tags_of_sites", "pages_by_sliding_days", "lateral_nodes")
 
 
 def plain(rows):
