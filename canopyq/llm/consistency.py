@@ -19,7 +19,8 @@ def lookalike_nodes(nodes: DataFrame) -> DataFrame:
     cases, nor are values of an empty table.
     """
     values = nodes.filter("kind in ('text', 'attribute') and value is not null").select("doc_id", "node_id", "kind", "value")
-    counts = values.sparkSession.sparkContext.broadcast(tuple(sorted(lookalike.member_counts(values.select("value")).items())))
+    counted = tuple(sorted(lookalike.member_counts(values.select("value")).items()))
+    counts = values.sparkSession.sparkContext.broadcast(counted)
     pairs = mojibake.corpus_counts(values.filter("kind = 'text'").select("value"))
     table = values.sparkSession.sparkContext.broadcast(pairs.astype(np.float32).tobytes())
 
@@ -32,5 +33,5 @@ def lookalike_nodes(nodes: DataFrame) -> DataFrame:
             yield f[["doc_id", "node_id"]].assign(form=form)[found]
 
     # a page delivered again has the same rows: the few candidates are made unique, not the table
-    may = values.filter(lookalike.may_change(F.col("value")))
+    may = values.filter(lookalike.may_change(F.col("value"), lookalike.rewriter(counted).odd))
     return may.mapInPandas(run, "doc_id long, node_id int, form string").dropDuplicates(["doc_id", "node_id"])

@@ -1,8 +1,8 @@
 """One consistent form for text that looks the same but is written with different characters.
 
 Characters and sequences that show the same are joined into transitive classes by union-find. In each class the member that the corpus
-uses most often is the representative, one for each script that has a member. An automaton over all members rewrites a text greedily, the longest
-member first, to the representative in the script of the word.
+uses most often is the representative, one for each script that has a member; an ASCII member is always that of its script, so that plain texts are in
+their one form as they stand. An automaton over all members rewrites a text greedily, the longest member first, to the representative in the script of the word.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ from pyspark.sql import functions as F
 # Letters of Cyrillic and Greek that show as the Latin letter beside them.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏ" "АВЕКМНОРСТХІЈЅУҺԌӀԚԜ", "aeopcyxijshdqwl" "ABEKMHOPCTXIJSYHGIQW", strict=True))
 GREEK = dict(zip("αονρυχϲϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aovpuxcj" "ABEZHIKMNOPTYXCJ", strict=True))
+ARMENIAN = dict(zip("օսհոցզՕՏՍԼ", "ouhngqOSUL", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
+#: Latin letters of phonetic writing that show as an everyday one, and small capitals of letters whose small form has the shape of the capital.
+PHONETIC = dict(zip("ɡɑɩ", "gai", strict=True)) | {chr(k): n[-1].lower() for k in (*range(0x1D00, 0x1D23), *range(0xA730, 0xA732)) if (n := unicodedata.name(chr(k), "")).startswith("LATIN LETTER SMALL CAPITAL ") and n[-2:-1] == " " and n[-1] in "COSUVWXZ"}
+TABLES = (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, PHONETIC)
 #: Of these, the letters of everyday alphabets: only they leave open which script a word is in.
 COMMON = frozenset("аеорсухАВЕКМНОРСТХУ" "αονρυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
 #: Characters that show nothing.
@@ -34,19 +39,24 @@ HYPHENS = "\u2010\u2011"
 #: Marks of the full width that Chinese and Japanese writing uses itself.
 CJK_MARKS = "！（），．：；？［］｛｝～｜＂＇"
 _TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>", "<vertical>", "<small>")
-_LIGATURES = "ﬀ-ﬆﬓ-ﬗĲĳǄ-ǌǱ-ǳŉ"
+#: Numbers of one or several letters.
+_ROMAN = "Ⅰ-ⅿ"
+_LIGATURES = _ROMAN + "ﬀ-ﬆﬓ-ﬗĲĳǄ-ǌǱ-ǳŉ"
 
 _latin = "A-Za-zª-ºÀ-ÖØ-öø-ʯḀ-ỿ"
-_cyrillic, _greek = "Ѐ-ԯ", "Ͱ-Ͽἀ-῾"
+_cyrillic, _greek, _armenian, _cherokee = "Ѐ-ԯ", "Ͱ-Ͽἀ-῾", "Ա-֏", "Ꭰ-Ᏽꭰ-ꮿ"
+_others = _cyrillic + _greek + _armenian + _cherokee
 _mark = "\u0300-\u036f"
 _thin = f"[{INVISIBLE}{_mark}]"
-_is = {"latin": re.compile(f"[{_latin}]"), "cyrillic": re.compile(f"[{_cyrillic}]"), "greek": re.compile(f"[{_greek}]")}
-_mixed = re.compile(f"[{_latin}]{_thin}*[{_cyrillic}{_greek}]|[{_cyrillic}]{_thin}*[{_latin}{_greek}]|[{_greek}]{_thin}*[{_latin}{_cyrillic}]")
-_letters = re.compile(f"[{_latin}{_cyrillic}{_greek}{_mark}{INVISIBLE}]+")
+_ranges_of = {"latin": _latin, "cyrillic": _cyrillic, "greek": _greek, "armenian": _armenian, "cherokee": _cherokee}
+_is = {name: re.compile(f"[{x}]") for name, x in _ranges_of.items()}
+SCRIPTS = tuple(_ranges_of)
+_mixed = re.compile("|".join(f"[{x}]{_thin}*[{''.join(y for y in _ranges_of.values() if y != x)}]" for x in _ranges_of.values()))
+_letters = re.compile(f"[{_latin}{_others}{_mark}{INVISIBLE}]+")
 #: Look-alike letters that everyday alphabets do not have: in a word of look-alikes only, they tell of another script.
-_RARE = "".join(sorted((set(CYRILLIC) | set(GREEK)) - COMMON))
+_RARE = "".join(sorted(set().union(*TABLES[:2]) - COMMON))
 _rare = re.compile(f"[{_RARE}]")
-_foreign = re.compile(f"[{_cyrillic}{_greek}]")
+_foreign = re.compile(f"[{_others}]")
 _emoji = re.compile("[\U0001f000-\U0001faff☀-➿️⃣↔-⇿⬀-⯿]")
 _virama = re.compile("[्্੍્୍்్್്්᯲]")
 #: Arabic letters that join to the letter after them: only there does a non-joiner show.
@@ -95,7 +105,7 @@ def _all_suspects() -> frozenset[str]:
             composing.add(c)
     nothing = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}]")
     plain = {chr(k) for k in range(128, 0x10000) if nothing.match(chr(k))}
-    return frozenset({*folded(), *composing, *plain, *map(chr, range(0x1100, 0x1200))})
+    return frozenset({*folded(), *composing, *plain, *PHONETIC, *map(chr, range(0x1100, 0x1200))})
 
 
 @functools.cache
@@ -117,11 +127,15 @@ def _coarse() -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in out)
 
 
-def may_change(value: Column) -> Column:
-    """Whether a value can be a case at all, told without Python: a suspect character, or letters of two of the scripts that share shapes."""
-    latin, cyrillic, greek = (value.rlike(f"[{x}]") for x in (_latin, _cyrillic, _greek))
-    either = value.rlike(f"[{_cyrillic}{_greek}]")
-    return value.rlike(r"[^\x00-\x7f]") & (value.rlike(f"[{_coarse()}]") | (either & (value.rlike(f"[{_RARE}]") | latin | (cyrillic & greek))))
+def may_change(value: Column, odd: str = "") -> Column:
+    """Whether a value can be a case at all, told without Python: a suspect character, one of ``odd`` (a class), or letters of two of the scripts that share shapes."""
+    has = {name: value.rlike(f"[{x}]") for name, x in _ranges_of.items()}
+    either = value.rlike(f"[{_others}]")
+    two = F.lit(False)
+    for k, a in enumerate(SCRIPTS):
+        for b in SCRIPTS[k + 1 :]:
+            two = two | (has[a] & has[b])
+    return value.rlike(r"[^\x00-\x7f]") & (value.rlike(f"[{_coarse()}{odd}]") | (either & (value.rlike(f"[{_RARE}]") | two)))
 
 
 @dataclass
@@ -164,7 +178,7 @@ def script(s: str) -> str:
 def classes() -> list[list[str]]:
     """The transitive look-alike classes, by Unicode data and the tables above."""
     c = Classes()
-    for table in (CYRILLIC, GREEK, folded()):
+    for table in (*TABLES, folded()):
         for a, b in table.items():
             c.join(a, b)
     for k in range(128, sys.maxunicode + 1):
@@ -175,7 +189,7 @@ def classes() -> list[list[str]]:
                 c.join(form, s)
     # a letter with an accent looks like the look-alike of its base with that accent
     for s in [m for m in c.parent if len(m) == 2]:
-        for table in (CYRILLIC, GREEK):
+        for table in TABLES[:2]:
             for a, b in table.items():
                 if s[0] == b and (unicodedata.normalize("NFC", a + s[1]) == a + s[1]):
                     c.join(a + s[1], s)
@@ -187,7 +201,9 @@ class Rewriter:
 
     def __init__(self, counts: dict[str, int] | None = None):
         counts = counts or {}
-        usual = lambda m: (-counts.get(m, 0), m in folded(), unicodedata.normalize("NFC", m) != m, len(m), m)
+        usual = lambda m: (not m.isascii(), -counts.get(m, 0), m in folded() or m in PHONETIC, unicodedata.normalize("NFC", m) != m, len(m), m)
+        odd: set[str] = set()
+        known = _all_suspects()
         self.best: list[dict[str, str]] = []
         self.automaton = ahocorasick.Automaton()
         self.by: dict[str, int] = {}
@@ -197,19 +213,25 @@ class Rewriter:
             for m in sorted(members, key=usual):
                 best.setdefault(script(m), m)
             self.best.append(best)
+            odd.update(m[-1] for m in members if m != best[script(m)] and m[-1] > "\x7f" and known.isdisjoint(m) and (len(m) == 1 or unicodedata.category(m[-1])[0] == "M"))
             for m in members:
                 self.by[m] = k
                 self.automaton.add_word(m, (k, len(m)))
         self.automaton.make_automaton()
         # a class within the first plane is a bitmap; with others it would be tried range by range
-        self.single = re.compile(f"[{suspects(0, 0x10000)}]")
-        self.beyond = re.compile(f"[{suspects(0x10000)}]")
+        #: Characters of members that are usual elsewhere but not the representative here, as a class.
+        self.odd = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(odd))
+        low, high = (_ranges(sorted(k for k in map(ord, odd) if (k < 0x10000) == first)) for first in (True, False))
+        self.single = re.compile(f"[{suspects(0, 0x10000)}{low}]")
+        self.beyond = re.compile(f"[{suspects(0x10000)}{high}]")
 
     def form(self, text: str) -> str:
         """The text in its one form."""
         if text.isascii():
             return text
-        for _ in range(4):  # a rewritten word can tell the script of its neighbours
+        seen: set[str] = set()
+        while text not in seen:  # a rewritten word can tell the script of its neighbours
+            seen.add(text)
             new = text
             if self.single.search(new) or (max(new, default="") > "\uffff" and self.beyond.search(new)):
                 new = unicodedata.normalize("NFC", self._spelled(self._shown(new)))
@@ -240,7 +262,7 @@ class Rewriter:
             start = end + 1 - n
             m = text[start : end + 1]
             best = self.best[k]
-            new = best[own] if (own := script(m)) else next((best[x] for x in ("latin", "cyrillic", "greek", "") if x in best), m)
+            new = best[own] if (own := script(m)) else next((best[x] for x in (*SCRIPTS, "") if x in best), m)
             if new != m:
                 parts += [text[at:start], new]
                 at = end + 1
@@ -250,7 +272,7 @@ class Rewriter:
         """Letters of look-alike scripts to the script of their word."""
         if not _foreign.search(text) or not (_is["latin"].search(text) or _rare.search(text) or _mixed.search(text)):
             return text
-        votes = {"latin": 0, "cyrillic": 0, "greek": 0}
+        votes = dict.fromkeys(SCRIPTS, 0)
         words = [(m.start(), m.group(), self._votes(m.group())) for m in _letters.finditer(text)]
         for _, _, v in words:
             if sum(x > 0 for x in v.values()) == 1:
@@ -280,7 +302,7 @@ class Rewriter:
 
     def _votes(self, word: str) -> dict[str, int]:
         """Letters of a word that only one script can show."""
-        v = {"latin": 0, "cyrillic": 0, "greek": 0}
+        v = dict.fromkeys(SCRIPTS, 0)
         for c in word:
             if (s := self._own(c)) is not None:
                 v[s] += 1
@@ -290,7 +312,7 @@ class Rewriter:
         """The script of a letter that no other script can show."""
         if c not in self.own:
             s = script(c)
-            self.own[c] = s if s and c not in CYRILLIC and c not in GREEK and not self._twin(c) else None
+            self.own[c] = s if s and not any(c in t for t in TABLES) and not self._twin(c) else None
         return self.own[c]
 
 
@@ -327,7 +349,12 @@ def needed(text: str, k: int) -> bool:
 def _count(members: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ones = np.array(sorted(ord(m) for m in members if len(m) == 1))
     pairs = {(ord(m[0]) << 32) | ord(m[1]): m for m in members if len(m) == 2}
+    longer = {m: 0 for m in members if len(m) > 2}
     keys = np.array(sorted(pairs), dtype=np.uint64)
+    # of all neighbours only those are looked up whose second character ends a pair, and whose first one begins one
+    begins, ends = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
+    begins[[ord(m[0]) for m in pairs.values()]] = True
+    ends[[ord(m[1]) for m in pairs.values()]] = True
     single, double = np.zeros(0x110000, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
     for b in batches:
         text = "\n".join(t for t in b.column(0).to_pylist() if t)
@@ -336,13 +363,17 @@ def _count(members: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             continue
         found = np.bincount(codes)
         single[: len(found)] += found
-        marks = np.flatnonzero((codes[1:] >= 0x300) & (codes[1:] < 0xFFA0) & ((codes[1:] < 0x370) | (codes[1:] > 0x590)))
+        marks = np.flatnonzero(ends[codes[1:]])
+        marks = marks[begins[codes[marks]]]
         both = (codes[marks].astype(np.uint64) << np.uint64(32)) | codes[marks + 1].astype(np.uint64)
         at = np.searchsorted(keys, both)
         at[at == len(keys)] = 0
         hit = keys[at] == both
         double += np.bincount(at[hit], minlength=len(keys))
-    out = [(chr(k), int(single[k])) for k in ones if single[k]] + [(pairs[int(k)], int(n)) for k, n in zip(keys, double, strict=True) if n]
+        for m in longer:
+            if all(ord(c) < len(found) and found[ord(c)] for c in m):
+                longer[m] += text.count(m)
+    out = [(chr(k), int(single[k])) for k in ones if single[k]] + [(pairs[int(k)], int(n)) for k, n in zip(keys, double, strict=True) if n] + [(m, n) for m, n in longer.items() if n]
     yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["member", "n"])
 
 
@@ -365,7 +396,8 @@ def consistent(values: DataFrame, keep: list[str], value: str, counts: dict[str,
     if counts is None:
         counts = member_counts(values.select(F.col(value).alias("v")).filter("v is not null"))
     # one row per member of a class at most: some 20 000
-    shared = values.sparkSession.sparkContext.broadcast(tuple(sorted(counts.items())))
+    counted = tuple(sorted(counts.items()))
+    shared = values.sparkSession.sparkContext.broadcast(counted)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         form = rewriter(shared.value).form
@@ -376,7 +408,7 @@ def consistent(values: DataFrame, keep: list[str], value: str, counts: dict[str,
 
     rows = values.select(*keep, F.col(value).alias("__v"))
     schema = rows.drop("__v").schema.add("form", "string")
-    may = may_change(F.col("__v"))
+    may = may_change(F.col("__v"), rewriter(counted).odd)
     changed = rows.filter(may).mapInPandas(run, schema)
     if only_changed:
         return changed

@@ -193,14 +193,14 @@ class Repairer:
         return LOST.search(text) is not None or self.repair(text) != text
 
     def _repair(self, text: str) -> str:
-        for _ in range(4):  # a text may have been decoded wrongly more than once
+        seen: set[str] = set()
+        while text not in seen:  # a text may have been decoded wrongly more than once
+            seen.add(text)
             new = self._from_utf8(text) if self.may_start.search(text) else text
             if _narrow_high.search(text) and (other := self._from_narrow(text)) != text and (new == text or self.likely(f"\n{other}\n") > self.likely(f"\n{new}\n")):
                 new = other
             if new == text and _wide_high.search(text):
                 new = self._from_wide(text)
-            if new == text:
-                break
             text = new
         return text
 

@@ -58,9 +58,30 @@ def test_classes_are_transitive():
 
 
 def test_frequency_chooses():
-    many = lookalike.Rewriter({"ａ": 100, "a": 1})
-    assert many.form("ａ") == many.form("ａ")
-    assert lookalike.Rewriter({"é": 1, "é": 50}).form("é") in ("é", "é")
+    usual = lookalike.Rewriter({"ア": 100, "ｱ": 1})
+    assert usual.form("ｱア") == usual.form("アｱ") == "アア"
+    narrow = lookalike.Rewriter({"ア": 1, "ｱ": 100})
+    assert narrow.form("ｱア") == narrow.form("アｱ") == "ｱｱ" and "30a2" in narrow.odd
+
+
+def test_ascii_is_the_form_of_its_class_whatever_the_counts():
+    r = lookalike.Rewriter({"ĳ": 100, "ij": 1, "ａ": 100, "a": 1, "ﬁ": 9})
+    for text, want in (("ĳs en Ĳssel", "ijs en IJssel"), ("ijs en IJssel", "ijs en IJssel"), ("ａ", "a"), ("ﬁn", "fin")):
+        assert r.form(text) == want == r.form(want)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("օld", "old"), ("Ꭺrchive", "Archive"), ("ɡood", "good"), ("Henry Ⅳ", "Henry IV"), ("ⅼist", "list"), ("ᴄool", "cool"), ("Բարեւ օր", "Բարեւ օր"), ("ᎠᏂᏴᏫᏯ", "ᎠᏂᏴᏫᏯ"), ("½ of №", "½ of №")],
+)
+def test_letters_of_other_scripts(text, want):
+    assert FORM(text) == want and FORM(want) == want
+
+
+def test_members_are_counted_whatever_their_letters(spark):
+    texts = spark.createDataFrame([("ijs ij",), ("ĳ ǆ dž",), ("ffi ﬃ",), (None,), ("",)], "v string")
+    got = lookalike.member_counts(texts)
+    assert got["ij"] == 2 and got["ĳ"] == 1 and got["ǆ"] == 1 and got["dž"] == 1 and got["ffi"] == 1 and got["ﬃ"] == 1
 
 
 CLEAN = ["Nach der Prüfung führt die schöne Brücke über den Fluss", "La journée énorme précède la théière à côté", "Każda łąka śledzi tę żółtą książkę", "Сегодня старая долина снова несёт книгу", "人们说安静的花园正在测量风门", "朝になると静かな図書館を開きます", "오래된 등대 옆의 다리 이 길을 지킨다", "plain words – and “quotes” here"]
