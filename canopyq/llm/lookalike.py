@@ -114,10 +114,10 @@ def suspects(low: int = 0, high: int = sys.maxunicode + 1) -> str:
     return _ranges(sorted(k for k in map(ord, _all_suspects()) if low <= k < high))
 
 
-@functools.cache
-def _coarse() -> str:
-    """A class of few ranges that holds all suspects: a long class is slow in the JVM."""
-    points = sorted({ord(c) for c in _all_suspects()})
+@functools.lru_cache(maxsize=4)
+def _coarse(odd: str = "") -> str:
+    """A class of few ranges that holds all suspects and the odd characters: a long class is slow in the JVM."""
+    points = sorted({ord(c) for c in (*_all_suspects(), *odd)})
     out: list[list[int]] = []
     for k in points:
         if out and k - out[-1][1] <= 32 and not (out[-1][1] < 0xC0 < k or out[-1][1] <= 0x36F < k):
@@ -128,14 +128,12 @@ def _coarse() -> str:
 
 
 def may_change(value: Column, odd: str = "") -> Column:
-    """Whether a value can be a case at all, told without Python: a suspect character, one of ``odd`` (a class), or letters of two of the scripts that share shapes."""
-    has = {name: value.rlike(f"[{x}]") for name, x in _ranges_of.items()}
-    either = value.rlike(f"[{_others}]")
+    """Whether a value can be a case at all, told without Python: a suspect character, one of ``odd``, or letters of two of the scripts that share shapes."""
+    holds = lambda names: value.rlike(f"[{''.join(_ranges_of[n] for n in names)}]")
     two = F.lit(False)
-    for k, a in enumerate(SCRIPTS):
-        for b in SCRIPTS[k + 1 :]:
-            two = two | (has[a] & has[b])
-    return value.rlike(r"[^\x00-\x7f]") & (value.rlike(f"[{_coarse()}{odd}]") | (either & (value.rlike(f"[{_RARE}]") | two)))
+    for k, name in enumerate(SCRIPTS[:-1]):
+        two = two | (holds([name]) & holds(SCRIPTS[k + 1 :]))
+    return value.rlike(r"[^\x00-\x7f]") & (value.rlike(f"[{_coarse(odd)}]") | (holds(SCRIPTS[1:]) & (value.rlike(f"[{_RARE}]") | two)))
 
 
 @dataclass
@@ -219,8 +217,8 @@ class Rewriter:
                 self.automaton.add_word(m, (k, len(m)))
         self.automaton.make_automaton()
         # a class within the first plane is a bitmap; with others it would be tried range by range
-        #: Characters of members that are usual elsewhere but not the representative here, as a class.
-        self.odd = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(odd))
+        #: Characters of members that are usual elsewhere but not the representative here.
+        self.odd = "".join(sorted(odd))
         low, high = (_ranges(sorted(k for k in map(ord, odd) if (k < 0x10000) == first)) for first in (True, False))
         self.single = re.compile(f"[{suspects(0, 0x10000)}{low}]")
         self.beyond = re.compile(f"[{suspects(0x10000)}{high}]")
@@ -352,9 +350,9 @@ def _count(members: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     longer = {m: 0 for m in members if len(m) > 2}
     keys = np.array(sorted(pairs), dtype=np.uint64)
     # of all neighbours only those are looked up whose second character ends a pair, and whose first one begins one
-    begins, ends = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
-    begins[[ord(m[0]) for m in pairs.values()]] = True
-    ends[[ord(m[1]) for m in pairs.values()]] = True
+    place = np.zeros(0x110000, dtype=np.uint8)
+    place[[ord(m[0]) for m in pairs.values()]] = 1
+    place[[ord(m[1]) for m in pairs.values()]] |= 2
     single, double = np.zeros(0x110000, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
     for b in batches:
         text = "\n".join(t for t in b.column(0).to_pylist() if t)
@@ -363,8 +361,8 @@ def _count(members: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             continue
         found = np.bincount(codes)
         single[: len(found)] += found
-        marks = np.flatnonzero(ends[codes[1:]])
-        marks = marks[begins[codes[marks]]]
+        at = place[codes]
+        marks = np.flatnonzero(at[:-1] & (at[1:] >> 1))
         both = (codes[marks].astype(np.uint64) << np.uint64(32)) | codes[marks + 1].astype(np.uint64)
         at = np.searchsorted(keys, both)
         at[at == len(keys)] = 0

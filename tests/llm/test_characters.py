@@ -61,7 +61,7 @@ def test_frequency_chooses():
     usual = lookalike.Rewriter({"ア": 100, "ｱ": 1})
     assert usual.form("ｱア") == usual.form("アｱ") == "アア"
     narrow = lookalike.Rewriter({"ア": 1, "ｱ": 100})
-    assert narrow.form("ｱア") == narrow.form("アｱ") == "ｱｱ" and "30a2" in narrow.odd
+    assert narrow.form("ｱア") == narrow.form("アｱ") == "ｱｱ" and "ア" in narrow.odd
 
 
 def test_ascii_is_the_form_of_its_class_whatever_the_counts():
