@@ -348,6 +348,10 @@ def _count(members: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     ones = np.array(sorted(ord(m) for m in members if len(m) == 1))
     pairs = {(ord(m[0]) << 32) | ord(m[1]): m for m in members if len(m) == 2}
     longer = {m: 0 for m in members if len(m) > 2}
+    find = ahocorasick.Automaton()
+    for m in longer:
+        find.add_word(m, m)
+    find.make_automaton()
     keys = np.array(sorted(pairs), dtype=np.uint64)
     # of all neighbours only those are looked up whose second character ends a pair, and whose first one begins one
     place = np.zeros(0x110000, dtype=np.uint8)
@@ -368,9 +372,8 @@ def _count(members: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         at[at == len(keys)] = 0
         hit = keys[at] == both
         double += np.bincount(at[hit], minlength=len(keys))
-        for m in longer:
-            if all(ord(c) < len(found) and found[ord(c)] for c in m):
-                longer[m] += text.count(m)
+        for _, m in find.iter(text):
+            longer[m] += 1
     out = [(chr(k), int(single[k])) for k in ones if single[k]] + [(pairs[int(k)], int(n)) for k, n in zip(keys, double, strict=True) if n] + [(m, n) for m, n in longer.items() if n]
     yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["member", "n"])
 
