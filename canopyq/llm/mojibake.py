@@ -159,6 +159,15 @@ class Repairer:
         pairs = self.pairs
         return sum([pairs[text[k : k + 2]] for k in range(len(text) - 1)])
 
+    def beats(self, text: str, floor: float) -> bool:
+        """Whether the log likelihood is above a floor. No pair adds to it, so most readings are told by their first pairs."""
+        pairs, total = self.pairs, 0.0
+        for k in range(len(text) - 1):
+            total += pairs[text[k : k + 2]]
+            if total <= floor:
+                return False
+        return True
+
     def gain(self, left: str, old: str, new: str, right: str, margin: float) -> float:
         """By how much a reading beats the text as it stands and in its usual form; 0 if not by the margin, or if it is no text itself."""
         n = len(left) + len(new) + len(right) - 1
@@ -271,6 +280,17 @@ class Repairer:
 
     def _wide_spans(self, token: str, table: dict[str, int], data: bytes, meant: str) -> Iterator[tuple[int, int, str]]:
         spans, one = self.wide[meant]
+        if (first := spans.search(data)) is None:
+            return
+        if first.end() - first.start() == len(data) and b"\xff" not in data:
+            try:
+                new = data.decode(meant)
+            except UnicodeDecodeError:
+                pass
+            else:
+                if not new.isascii():
+                    yield 0, len(data), new
+                return
         broken = [k for k, c in enumerate(token) if c not in table] if b"\xff" in data else []
         for low, high in zip([0, *(k + 1 for k in broken)], [*broken, len(data)], strict=True):
             for m in spans.finditer(data, low, high):
@@ -300,7 +320,7 @@ class Repairer:
             """The gain of a reading of token[a:z]."""
             if (old := before.get((a, z))) is None:
                 old = before[a, z] = self.likely(whole[a : z + 2])
-            return self.gain(whole[a], token[a:z], new, whole[z + 1], margin) if self.likely(whole[a] + new + whole[z + 1]) - old > margin else 0.0
+            return self.gain(whole[a], token[a:z], new, whole[z + 1], margin) if self.beats(whole[a] + new + whole[z + 1], old + margin) else 0.0
 
         for assumed, table, _ in self.assumed:
             data = bytes([table.get(c, 0xFF) for c in token])
