@@ -13,8 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct skeletons up to which their rules are broadcast (a rule takes a few hundred bytes); beyond it they are joined by a shuffle.
-BROADCAST_RULES = 50_000
+from canopyq.session import cut
+
+#: Bytes of rules up to which they are broadcast, measured first; beyond, they are joined by a shuffle.
+BROADCAST_RULES = 64 << 20
+#: Parts over which the fields of one skeleton are spread where rules are not broadcast.
+SALTS = 32
 
 _BLANK = r"\t\n\r\u000b\f \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0085"
 _DOUBLE = r'&quot;|&#0*34;|&#[xX]0*22;|&[lr]dquo;|\\"'
@@ -169,11 +173,15 @@ def split_packed(fields: DataFrame, keep: list[str], value: str, names: Column,
         raise ValueError("keep may not hold pos or item")
     f = fields.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(value).alias("v"), F.coalesce(names, F.lit(False)).alias("names")).filter("v is not null")
     f = f.withColumn("toks", tokens(F.col("v"))).withColumn("skeleton", skeleton(F.col("toks")))
-    rules = f.select("skeleton", "names").distinct().mapInPandas(_rules, "skeleton string, names boolean, spans array<struct<at:int,n:int>>")
     # fields of one value are most of all skeletons by rows but few by number: rules are far fewer than fields
-    rules = rules.persist()
-    few = rules.limit(most_broadcast + 1).count() <= most_broadcast
-    f = f.join(F.broadcast(rules) if few else rules, ["skeleton", "names"])
+    rules = cut(f.select("skeleton", "names").distinct().mapInPandas(_rules, "skeleton string, names boolean, spans array<struct<at:int,n:int>>"))
+    size = rules.agg(F.sum(F.octet_length("skeleton") + 24 * F.size("spans") + 64)).first()[0] or 0
+    if size <= most_broadcast:
+        f = f.join(F.broadcast(rules), ["skeleton", "names"])
+    else:
+        # a skeleton that a third of all fields have is spread over parts, and the rules are repeated for each
+        f = f.withColumn("part", F.pmod(F.xxhash64("v", *[f"k{i}" for i in range(len(keep))]), F.lit(SALTS)).cast("int"))
+        f = f.join(rules.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["skeleton", "names", "part"])
     items = F.transform("spans", lambda s: F.array_join(F.slice("toks", s["at"] + 1, s["n"]), ""))
     return f.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.posexplode(items).alias("pos", "item"))
 
@@ -183,14 +191,16 @@ LIST_ATTRIBUTES = ("data-tags", "data-topics", "data-authors", "data-sizes")
 
 def list_fields(nodes: DataFrame) -> DataFrame:
     """The list-valued attribute nodes: doc_id, node_id, name, value, each once, however often its page was delivered."""
-    attribute = nodes.filter("kind = 'attribute'").select("doc_id", "node_id", "parent_id", "name", "value").filter("value is not null")
-    data = attribute.filter(F.lower("name").isin(*LIST_ATTRIBUTES))
-    keywords = nodes.filter("kind = 'element'").filter(F.lower("name") == "meta").filter(F.lower(F.trim(F.col("attrs")["name"])) == "keywords")
-    content = attribute.filter(F.lower("name") == "content").join(keywords.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
-    both = data.unionByName(content.select(*data.columns))
-    return both.groupBy("doc_id", "node_id").agg(F.max(F.struct(F.lower("name").alias("name"), F.col("value"))).alias("x")).select("doc_id", "node_id", "x.*")
+    name, is_attribute = F.lower("name"), F.col("kind") == "attribute"
+    data = is_attribute & name.isin(*LIST_ATTRIBUTES) & F.col("value").isNotNull()
+    content = is_attribute & (name == "content") & F.col("value").isNotNull()
+    meta = (F.col("kind") == "element") & (name == "meta") & (F.lower(F.trim(F.col("attrs")["name"])) == "keywords")
+    # one pass: a content attribute meets its element under the element's id, which no attribute has
+    rows = nodes.filter(data | content | meta).select("doc_id", F.when(content, F.col("parent_id")).otherwise(F.col("node_id")).alias("g"), F.when(~meta, F.struct("node_id", name.alias("name"), "value")).alias("x"), meta.alias("meta"), data.alias("data"))
+    by = rows.groupBy("doc_id", "g").agg(F.collect_set("x").alias("xs"), F.max("meta").alias("meta"), F.max("data").alias("data"))
+    return by.filter("data or meta").select("doc_id", F.explode("xs").alias("x")).select("doc_id", "x.node_id", "x.name", "x.value")
 
 
 def packed_attributes(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, pos, item of every list-valued attribute of a node table (see ``split_packed``)."""
-    return split_packed(list_fields(nodes), ["doc_id", "node_id"], "value", F.col("name") == "data-authors")
+    return split_packed(cut(list_fields(nodes)), ["doc_id", "node_id"], "value", F.col("name") == "data-authors")
