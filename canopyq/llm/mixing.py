@@ -21,6 +21,8 @@ from canopyq.session import cut
 BUCKETS = 16384
 #: Patterns, subsets of the sources, that a mix may have: their token sums go to the driver.
 MOST_PATTERNS = 100_000
+#: Stretches up to which they are broadcast (6 MB).
+MOST_BROADCAST = 100_000
 
 
 class Flow:
@@ -123,16 +125,20 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
         stretches.append((list(p), s, patterns[p], low[p], low[p] + x))
         low[p] += x
     lines = spark.createDataFrame(stretches, "pattern array<string>, source string, w long, low long, high long")
+    lines = lines.select(F.xxhash64("pattern").alias("p"), "source", "w", "low", "high")
+    # the flow is a forest: hardly more stretches than patterns and sources, 60 bytes each
+    lines = F.broadcast(lines) if len(stretches) <= MOST_BROADCAST else lines
     order = F.xxhash64(F.col("h"), F.lit(seed))
     u = u.withColumn("o", order).withColumn("bucket", F.pmod(F.shiftrightunsigned("o", 20), F.lit(BUCKETS)))
     by = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = u.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(by), F.lit(0)))
     inside = Window.partitionBy("pattern", "bucket").orderBy("o", "h").rowsBetween(Window.unboundedPreceding, -1)
     at = u.withColumn("c", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before.drop("t"), ["pattern", "bucket"])
-    at = at.select("pattern", "held", "n_tokens", (F.col("c") + F.col("before")).alias("c"))
+    # a text goes with the stretch that holds its middle, so a stretch misses its tokens by half a text at either end at most
+    at = at.select(F.xxhash64("pattern").alias("p"), "held", "n_tokens", (F.col("c") + F.col("before") + F.expr("n_tokens div 2")).alias("c"))
     # places c, c + w, c + 2 w ... inside the stretch: ceil((high - c) / w) - ceil((low - c) / w)
     ceil = lambda x: F.expr(f"-((c - {x}) div w) + if((c - {x}) % w < 0, 1, 0)")
-    picked = at.join(F.broadcast(lines), "pattern").withColumn("uses", F.greatest(ceil("high"), F.lit(0)) - F.greatest(ceil("low"), F.lit(0)))
+    picked = at.join(lines, "p").withColumn("uses", F.greatest(ceil("high"), F.lit(0)) - F.greatest(ceil("low"), F.lit(0)))
     picked = picked.filter(F.col("uses") > 0).select(F.expr("filter(held, x -> x.source = source)[0].doc_id").alias("doc_id"), "source", "n_tokens", F.col("uses").cast("int").alias("uses"))
     capacity = u.select(F.explode("pattern").alias("source"), "n_tokens").groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     got = picked.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("actual_tokens"), F.max("uses").alias("most_uses"), F.count(F.lit(1)).alias("documents"))
