@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canopyq.html.lexer import WHITE
 from canopyq.html.tree import VOID
-from canopyq.plans.strings import string_values
+from canopyq.plans.strings import CELL, string_values
 
 FORMATS = ("standard", "ignore_whitespace", "indented")
 _white = f"[{WHITE}]"
@@ -19,7 +19,10 @@ def itertext(nodes: DataFrame, items: DataFrame) -> DataFrame:
     own = nodes.select("doc_id", F.col("node_id").alias("item_id"), F.col("last_desc").alias("z"), F.col("kind").alias("k")).distinct()
     start = start.join(own, ["doc_id", "item_id"]).filter("k in ('element', 'document')")
     texts = nodes.filter("kind = 'text' and value is not null").select("doc_id", "node_id", "value").distinct()
-    return start.join(texts, "doc_id").filter("node_id > item_id and node_id <= z").select("doc_id", "item_id", "node_id", "value")
+    # an item meets only texts in the cells of ids that its span covers
+    start = start.withColumn("cell", F.explode(F.sequence(F.floor(F.col("item_id") / CELL), F.floor(F.col("z") / CELL))))
+    texts = texts.withColumn("cell", F.floor(F.col("node_id") / CELL))
+    return start.join(texts, ["doc_id", "cell"]).filter("node_id > item_id and node_id <= z").select("doc_id", "item_id", "node_id", "value")
 
 
 def _ordered(values: Column, order: Column) -> Column:

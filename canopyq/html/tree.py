@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import re
 from dataclasses import dataclass, field
 
@@ -11,6 +13,8 @@ from canopyq.html.lexer import WHITE, lex
 #: Elements that have no end tag.
 VOID = frozenset("meta link img input br hr col area base embed keygen param source track wbr".split())
 POLICIES = ("error", "void", "close")
+#: Decides on an end tag that does not match: open elements and the tag's name to the number of elements that it closes, or None to refuse it.
+Handler = Callable[[list[str], str], "int | None"]
 #: Sort order of node kinds; ranks 2 and 3 are kept for processing instructions and comments, which never occur.
 RANK = {"document": 0, "element": 1, "text": 4, "attribute": 5}
 
@@ -67,15 +71,16 @@ def only_white(text: str) -> bool:
     return _blank.fullmatch(text) is not None
 
 
-def build(html: str, mismatch: str = "error") -> Node:
+def build(html: str, mismatch: str | Handler = "error") -> Node:
     """The root element of a text. Raises ParseError where there is none or the tokens make no sense.
 
     ``mismatch`` says what an end tag does whose name is not that of the current element: ``error`` refuses it, ``void`` lets it close the
-    current element all the same, ``close`` also closes the parent if the name is the parent's and the parent is not the root. Text and
+    current element all the same, ``close`` also closes the parent if the name is the parent's and the parent is not the root. A function gets the
+    names of the open elements, the root first, and the end tag's name, and says how many of them the tag closes; None refuses it. Text and
     elements outside the root, and comments, belong to no tree. Elements still open at the end are kept.
     """
-    if mismatch not in POLICIES:
-        raise ValueError(f"mismatch is one of {POLICIES}")
+    if mismatch not in POLICIES and not callable(mismatch):
+        raise ValueError(f"mismatch is one of {POLICIES} or a function")
     root = here = None
     open_tag = False
     tokens = lex(html)
@@ -117,6 +122,9 @@ def build(html: str, mismatch: str = "error") -> Node:
             if here is None:
                 raise ParseError("UNSUPPORTED", f"end tag {text} after the root was closed")
             if here.name != text:
+                if callable(mismatch):
+                    here = _handled(mismatch, here, text)
+                    continue
                 if mismatch == "error":
                     raise ParseError("EndTagMismatch", f"end tag {text} does not match open tag {here.name}")
                 if mismatch == "close" and here.parent is not None and here.parent is not root and here.parent.name == text:
@@ -153,6 +161,22 @@ def build(html: str, mismatch: str = "error") -> Node:
     return root
 
 
+def _handled(handler: Handler, here: Node, name: str) -> Node | None:
+    """The current element after a handler has said how many elements an end tag closes."""
+    names, node = [], here
+    while node is not None:
+        names.append(node.name)
+        node = node.parent
+    count = handler(names[::-1], name)
+    if count is None:
+        raise ParseError("EndTagMismatch", f"end tag {name} does not match open tag {here.name}")
+    if not 0 <= count <= len(names):
+        raise ValueError(f"a handler closes between 0 and {len(names)} elements, not {count}")
+    for _ in range(count):
+        here = here.parent
+    return here
+
+
 def _skip_doctype(tokens) -> None:
     first = next(tokens, None)
     if first is None:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopyq.plans.strings import string_values
+from canopyq.plans.strings import CELL, string_values
 
 NODE = ["node_id", "parent_id", "kind", "kind_rank", "name", "value", "last_desc", "attrs"]
 #: Ranks of atomic types: across types the rank decides a comparison.
@@ -334,6 +334,14 @@ class Compiler:
             "following": (this > last) & (F.col("kind") != "attribute"),
             "preceding": (F.col("last_desc") < start) & (F.col("kind") != "attribute"),
         }
+        cells = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor(F.col(z) / CELL)))
+        if axis.startswith("descendant"):
+            # a context node meets only nodes in the cells of ids that its span covers; each node is in one cell
+            c, n = c.withColumn("from_cell", cells("from_id", "from_last")), n.withColumn("cell", F.floor(F.col("node_id") / CELL))
+            same = same & (F.col("from_cell") == F.col("cell"))
+        elif axis.startswith("ancestor"):
+            c, n = c.withColumn("from_cell", F.floor(F.col("from_id") / CELL)), n.withColumn("cell", cells("node_id", "last_desc"))
+            same = same & (F.col("from_cell") == F.col("cell"))
         df = c.join(n, same & on[axis]).select(*[F.col(k) for k in keys if k != "from_doc"], "doc_id", *NODE, "from_id")
         if axis == "child" or axis == "attribute":
             unique = here.unique

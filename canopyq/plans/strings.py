@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ids of a cell: joins of spans with nodes of a document meet by cells of ids, so few pairs are compared that do not match.
+CELL = 64
+
 
 def string_values(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, nid, text: all text below each node of ``ranges`` (doc_id, nid, nlast; each once), in document order. ``texts`` has doc_id, node_id, value, each once; null texts count as "".

@@ -27,7 +27,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
-def _parse(mismatch: str, failfast: bool):
+def _parse(mismatch: str | tree.Handler, failfast: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for b in batches:
@@ -49,26 +49,26 @@ def _parse(mismatch: str, failfast: bool):
     return run
 
 
-def parsed(pages: DataFrame, id_column: str, html_column: str, mismatch: str = "error", mode: str = "PERMISSIVE") -> DataFrame:
+def parsed(pages: DataFrame, id_column: str, html_column: str, mismatch: str | tree.Handler = "error", mode: str = "PERMISSIVE") -> DataFrame:
     """Node rows of each page, and a row with error_code and error_msg alone for a page that does not parse.
 
-    ``mismatch`` is the policy for end tags that do not match (error, void, close). ``FAILFAST`` ends the job at the first bad page. A null text has
+    ``mismatch`` is the policy for end tags that do not match (error, void, close), or a function that decides (see ``tree.build``) and is sent to the workers. ``FAILFAST`` ends the job at the first bad page. A null text has
     neither nodes nor an error; an empty one has no root and is an error. A page given twice has its rows twice. Other columns of ``pages``
     are not read. Works on streams too: it is a map.
     """
-    if mismatch not in tree.POLICIES or mode not in MODES:
-        raise ValueError(f"mismatch is one of {tree.POLICIES}, mode one of {MODES}")
+    if mismatch not in tree.POLICIES and not callable(mismatch) or mode not in MODES:
+        raise ValueError(f"mismatch is one of {tree.POLICIES} or a function, mode one of {MODES}")
     rows = pages.select(F.col(id_column).cast("long").alias("doc_id"), F.col(html_column).alias("html"))
     schema = NODES + ", error_code string, error_msg string"
     return rows.mapInArrow(_parse(mismatch, mode == "FAILFAST"), schema)
 
 
-def html_nodes(pages: DataFrame, id_column: str, html_column: str, mismatch: str = "error", mode: str = "PERMISSIVE") -> DataFrame:
+def html_nodes(pages: DataFrame, id_column: str, html_column: str, mismatch: str | tree.Handler = "error", mode: str = "PERMISSIVE") -> DataFrame:
     """The node table of the pages that parse (see ``parsed``)."""
     return parsed(pages, id_column, html_column, mismatch, mode).filter("error_code is null").drop("error_code", "error_msg")
 
 
-def parse_errors(pages: DataFrame, id_column: str, html_column: str, mismatch: str = "error") -> DataFrame:
+def parse_errors(pages: DataFrame, id_column: str, html_column: str, mismatch: str | tree.Handler = "error") -> DataFrame:
     """doc_id, error_code, error_msg of the pages that do not parse."""
     return parsed(pages, id_column, html_column, mismatch).filter("error_code is not null").select("doc_id", "error_code", "error_msg")
 

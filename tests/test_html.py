@@ -119,3 +119,20 @@ def test_white_space_is_unicode_white_space():
     assert tree.only_white(" \t 　 ")
     assert not tree.only_white("\x1c")
     assert [t for t, _ in lexer.lex("<a b>")] == [lexer.START, lexer.IDENTIFIER, lexer.CLOSE]
+
+
+def test_a_handler_decides_on_mismatched_tags():
+    def closes(names, tag):
+        """Close up to the tag, ignore one that is not open, refuse one named x."""
+        if tag == "x":
+            return None
+        return names[::-1].index(tag) + 1 if tag in names else 0
+
+    shape = lambda node: (node.name, [shape(c) for c in node.children if c.name])
+    root = tree.build("<html><div><p><b>1</div><i>2</i></q></html>", closes)
+    assert shape(root) == ("html", [("div", [("p", [("b", [])])]), ("i", [])])
+    with pytest.raises(tree.ParseError) as e:
+        tree.build("<html><p></x></html>", closes)
+    assert e.value.code == "EndTagMismatch"
+    with pytest.raises(ValueError, match="handler"):
+        tree.build("<html><p></q></html>", lambda names, tag: 9)

@@ -123,3 +123,10 @@ def test_entry_names_agree():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_handlers_are_sent_to_the_workers(spark):
+    df = spark.createDataFrame([(1, "<html><p><b>x</p></html>")], "id long, html string")
+    ignore = lambda names, tag: names[::-1].index(tag) + 1 if tag in names else 0
+    assert [r.name for r in pages.html_nodes(df, "id", "html", ignore).filter("kind = 'element'").orderBy("node_id").collect()] == ["html", "p", "b"]
+    assert pages.parse_errors(df, "id", "html", lambda names, tag: None).first().error_code == "EndTagMismatch"
