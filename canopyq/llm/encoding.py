@@ -85,3 +85,17 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     # the long texts themselves stay behind: only their hashes meet the ids
     joined = long.select(*keep, "__h").join(whole.select(F.col("h").alias("__h"), F.col("ids").alias("__ids")), "__h")
     return short.unionByName(joined.select(*keep, value.alias(out)))
+
+
+def decoded(rows: DataFrame, keep: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
+    """The texts that lists of ids stand for: the columns ``keep`` and ``text``. An empty list is an empty text, a null one is null. It is the way back that ``encode`` is checked by."""
+    path = path or bpe.default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe.load(path)
+        for b in batches:
+            texts = [None if i is None else enc.decode(i, errors="strict") for i in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "text"])
+
+    rows = rows.select(*keep, F.col(ids).alias("__ids"))
+    return rows.mapInArrow(run, rows.drop("__ids").schema.add("text", "string"))

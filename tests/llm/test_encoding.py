@@ -65,3 +65,10 @@ def test_operator(spark):
     assert {r.h: r.ids for r in encoding.encode(clash, ["h", "text"], text="body", long_chars=1000).collect()} == got
     with pytest.raises(ValueError, match="keep"):
         encoding.encode(df, ["ids"])
+
+
+def test_ids_stand_for_their_texts(spark):
+    texts = [None, "", " ", "plain", "人们说 \U0001f469\u200d\U0001f52c", "<|endoftext|>", "x" * 9000, "word " * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, encoding.decoded(encoding.encode(df, ["doc_id"]), ["doc_id"]).collect()))
+    assert got == {k: t or "" for k, t in enumerate(texts)}
