@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from canopyq.session import cut
 
 #: Bytes of rules up to which they are broadcast, measured first; beyond, they are joined by a shuffle.
-BROADCAST_RULES = 64 << 20
+BROADCAST_RULES = 4 << 20
 #: Parts over which the fields of one skeleton are spread where rules are not broadcast.
 SALTS = 32
 
