@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from canopyq import api
 from canopyq.functions import text
 from canopyq.html.tree import VOID
 from canopyq.operators import joins
-from canopyq.session import table, tuned
+from canopyq.session import table, tuned, with_checkpoint_dir
 from canopyq.sources import pages
 from canopyq.streaming import windows
+from canopyq.streaming.pages import find_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -263,6 +265,38 @@ def event_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.year("ts").alias("year"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.floor(F.sqrt(F.abs("value"))).cast("long").alias("root"), k.alias("k"))
 
 
+def _page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table as a stream of its files."""
+    pages_table = table(spark, sf_dir, "pages")
+    folder, _, name = pages_table.inputFiles()[0].rpartition("/")
+    only = name if folder.endswith(sf_dir.rstrip("/").rpartition("/")[2]) else "*"
+    return spark.readStream.schema(pages_table.schema).option("pathGlobFilter", only).parquet(folder)
+
+
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder of the session."""
+    with_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+
+
+def streamed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the pages read as a stream, written batch by batch under their number."""
+    folder = _shared_folder(tuned(spark), "links")
+    sink = lambda found, batch: found.select("doc_id", "node_id").write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+    query = find_stream(_page_stream(spark, sf_dir), "page_id", "html", "//a/@href", sink, f"{folder}/state", repeated=True)
+    query.awaitTermination()
+    return spark.read.schema("doc_id long, node_id int").parquet(f"{folder}/out").select("doc_id", "node_id").distinct()
+
+
+def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each day and site, counted over a stream with state; each batch gives all windows so far."""
+    folder = _shared_folder(spark, "days")
+    counts = windows.pages_by_window(_page_stream(spark, sf_dir), "fetched_at", "site")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "site", "n")
+
+
 _attribute = "' ' || e.key || '=\"' || coalesce(e.value, '') || '\"'"
 _escaped = "replace(replace(replace(replace(replace(value, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _void = ", ".join(f"'{v}'" for v in sorted(VOID))
@@ -304,6 +338,8 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "top_tags": (top_tags, N + "SELECT name, count(*) AS n FROM n WHERE kind = 'element' GROUP BY 1 ORDER BY n DESC, name LIMIT 10"),
     "top_tags_of_sites": (top_tags_of_sites, N.rstrip() + f", e AS (SELECT site, name, count(*) AS n FROM n WHERE kind = 'element' AND site IS NOT NULL GROUP BY 1, 2) SELECT * FROM ({_TOP}) WHERE place <= 3"),
     "approximate_pages": (approximate_pages, N + "SELECT name, count(DISTINCT doc_id) AS pages, true AS close FROM n WHERE kind = 'element' GROUP BY 1"),
+    "streamed_links": (streamed_links, N + f"SELECT x.doc_id, x.node_id FROM n x {_up} WHERE x.kind = 'attribute' AND x.name = 'href' AND p.kind = 'element' AND p.name = 'a'"),
+    "streamed_days": (streamed_days, "SELECT CAST(date_trunc('day', fetched_at) AS TIMESTAMP) AS start, site, count(*) AS n FROM pages WHERE fetched_at IS NOT NULL GROUP BY 1, 2"),
     "pages_by_day": (pages_by_day, "SELECT CAST(date_trunc('day', fetched_at) AS TIMESTAMP) AS start, site, count(*) AS n FROM pages WHERE fetched_at IS NOT NULL GROUP BY 1, 2"),
     "pages_by_sliding_days": (pages_by_sliding_days, "SELECT CAST(date_trunc('day', fetched_at) AS TIMESTAMP) - to_days(k) AS start, site, count(*) AS n FROM pages, (VALUES (0), (1)) v(k) WHERE fetched_at IS NOT NULL GROUP BY 1, 2"),
     "last_click": (last_click, "SELECT e.event_id, (SELECT max(c.ts) FROM events c WHERE c.event_type = 'click' AND c.user_id = e.user_id AND c.ts <= e.ts) AS clicked FROM events e WHERE e.event_type = 'error'"),
