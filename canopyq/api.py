@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.plans.compiler import ATOMIC_RANK, NODE, TYPE_NAMES, Compiler, Seq, UnsupportedError
-from canopyq.xpath import constant, parser
+from canopyq.xpath import constant, parser, rewrite
 
 MODES = ("FAILFAST", "PERMISSIVE")
 #: Columns of a result; item_type is an atomic type, and null for nodes.
@@ -17,7 +17,7 @@ RESULT = ["doc_id", "kind_rank", "node_id", "kind", "name", "value", "item_type"
 
 @functools.lru_cache(maxsize=1024)
 def compiled(expression: str, lenient: bool = False) -> tuple:
-    return parser.parse(expression, lenient)
+    return rewrite.reduced(parser.parse(expression, lenient))
 
 
 def _check(mode: str) -> None:

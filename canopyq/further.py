@@ -66,6 +66,8 @@ PATHS: dict[str, tuple[str, str]] = {
     "two_variables": ("//ul[some $x in li, $y in li satisfies $x << $y]", f"SELECT {_cols} FROM n x WHERE {_el} AND x.name = 'ul' AND (SELECT count(*) FROM n c WHERE c.doc_id = x.doc_id AND c.parent_id = x.node_id AND c.kind = 'element' AND c.name = 'li') > 1"),
     "variable_in_predicate": ("for $x in //ul return //li[.. is $x]", f"SELECT {_cols} FROM n x {_up} WHERE {_el} AND x.name = 'li' AND p.kind = 'element' AND p.name = 'ul'"),
     "contains_in_any": ("//*[contains(., 'Read also')]", f"SELECT {_cols} FROM n x WHERE {_el} AND contains({_string('x')}, 'Read also')"),
+    "array_of_nodes": ("[//h1, //h2]?2", f"SELECT {_cols} FROM n x WHERE x.{_named} AND x.name = 'h2'"),
+    "map_of_nodes": ("map{'a': //h1, 'b': //h2}?a", f"SELECT {_cols} FROM n x WHERE x.{_named} AND x.name = 'h1'"),
     "unprefixed_root": ("/html/body/root()", f"SELECT {_cols} FROM n x WHERE x.kind = 'document' AND EXISTS (SELECT 1 FROM n c JOIN n h ON h.doc_id = c.doc_id AND h.node_id = c.parent_id WHERE c.doc_id = x.doc_id AND c.name = 'body' AND c.kind = 'element' AND h.name = 'html' AND h.parent_id = 0)"),
 }
 
@@ -96,6 +98,9 @@ VALUES: dict[str, tuple[str, str]] = {
     "array_lookup": ("[1, 2, 3]?2", "'2'"),
     "map_lookup": ("map{'a': 1, 'b': 2}?b", "'2'"),
     "inline_function": ("(function($x) { $x * 2 })(4)", "'8'"),
+    "function_over_nodes": ("(function($x) { count($x) })(//p)", "CAST(" + _of("c.name = 'p'") + " AS VARCHAR)"),
+    "named_function_over_nodes": ("count#1(//p)", "CAST(" + _of("c.name = 'p'") + " AS VARCHAR)"),
+    "partial_application": ("let $f := contains(?, '-') return $f(string(/html/@lang))", "CAST(contains(coalesce((SELECT any_value(a.value) FROM n a JOIN n h ON h.doc_id = a.doc_id AND h.node_id = a.parent_id WHERE a.doc_id = d.doc_id AND a.kind = 'attribute' AND a.name = 'lang' AND h.parent_id = 0 AND h.name = 'html'), ''), '-') AS VARCHAR)"),
     "named_function": ("(string-length#1)('abc')", "'3'"),
 }
 

@@ -522,7 +522,7 @@ class Compiler:
                 df, there = self.node_operand(before, df, cand, "exists")
                 df, v = self.operand(steps[-1][1], df, cand)
                 return df, Operand(v.type, v.value, there.value.cast("int"))
-            case ("path" | "map" | "for" | "range", *_) if not self.gives_nodes(t):
+            case ("path" | "map" | "for" | "range" | "postfix", *_) if not self.gives_nodes(t):
                 return self.folded(t, df, "first")
             case ("compare", op, a, b):
                 return self.compare(op, a, b, df, cand)
@@ -668,6 +668,15 @@ class Compiler:
                 return self.atoms_of_each(items[-1][1], self.path("", [("/", e) for _, e in items[:-1]], ctx), ctx)
             case ("for", bindings, body):
                 return self._loop(bindings, ctx, lambda inner: [(df.select(*ctx.keys, "o", "v"), ty) for df, ty in self.atoms(body, inner)])
+            case ("postfix", base, [("predicate", ("integer", k)), *rest]):
+                parts = self.atoms(base, ctx)
+                if len({ty for _, ty in parts}) > 1:
+                    raise UnsupportedError("a position among values of several types has no plan")
+                rows = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(n)).withColumn("o", F.col("o").cast("long")) for n, (p, _) in enumerate(parts)])
+                rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*ctx.keys).orderBy("part", "o"))).filter(F.col("at") == int(k))
+                if rest:
+                    raise UnsupportedError("only one position of values has a plan")
+                return [(rows.select(*ctx.keys, "o", "v"), parts[0][1])]
             case ("let", bindings, body):
                 (name, source), *rest = bindings
                 return self.atoms(substitute(("let", rest, body) if rest else body, name, ("paren", source)), ctx)

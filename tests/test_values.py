@@ -92,3 +92,20 @@ def test_range_axes(nodes, expression, want):
 def test_range_axes_are_no_join_within_documents(nodes, expression, capsys):
     api.find(nodes, expression, ordered=False).explain()
     assert "Join" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize(
+    ("expression", "want"),
+    [
+        ("[//p, //li]?2", ["li", "li"]), ("[//p, //li]?*", ["p", "p", "li", "li", "p"]), ("array{//li}?2 ! string(.)", ["2"]), ("array{//li}(1)/@class", ["x"]), ("map{'a': //li, 'b': 1}?a", ["li", "li"]), ("map{'a': //li}('a')", ["li", "li"]),
+        ("map{'a': //li}?c", []), ("(function($x) { count($x) })(//p)", ["3"]), ("let $f := function($x) { $x/@class } return $f(//li)", ["x", "y"]), ("count#1(//p)", ["3"]), ("//p => (function($x) { count($x) })()", ["3"]),
+        ("let $f := contains(?, 'a') return $f(string(/html/body/div[1]/p[1]))", ["true"]), ("for-each(//li, function($x) { concat('n', $x) })", ["n1", "n2"]), ("let $a := [//p, //li] return $a?2/@class", ["x", "y"]),
+        ("(//p ! string(.))[2]", ["b"]), ("let $n := 1, $f := function($x) { $x + $n } return $f(count(//p))", ["4"]), ("[1, 2]?3", None), ("//div[(function($x) { $x/li })(ul)]/@id", ["d1"]),
+    ],
+)
+def test_functions_arrays_and_maps_over_nodes(nodes, expression, want):
+    if want is None:
+        with pytest.raises(Exception):  # noqa: B017
+            values(nodes, expression)
+    else:
+        assert values(nodes, expression) == want
