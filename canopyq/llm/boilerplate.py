@@ -23,7 +23,7 @@ from canopyq.llm.lookalike import rewriter
 from canopyq.session import cut
 
 #: Pages of a host, or hosts, over which a subtree must recur to be a template, and shares of a host's pages, or of all hosts.
-LEAST_PAGES, LEAST_HOSTS, PAGES_SHARE, HOSTS_SHARE = 3, 3, 0.02, 0.02
+LEAST_PAGES, LEAST_HOSTS, PAGES_SHARE, HOSTS_SHARE = 3, 3, 0.02, 0.01
 #: Share of a host's pages over which a whole block must recur that may be the body itself.
 BODY_SHARE = 0.1
 #: Recurring hashes up to which they are broadcast (9 bytes each, counted first); beyond, they are joined by a shuffle over SALTS parts of each.
@@ -64,6 +64,7 @@ class Reader:
         self.rewrite = rewriter().form
         self.known: dict[str, tuple[int, bool, bool]] = {}
         self.tags: dict[str, tuple[int, bool, bool, bool, int]] = {}
+        self.strong = {self.tag(name)[0] for name in ("strong", "b")}
         self.credited = {self.tag(name)[0] for name in CREDITED}
 
     def tag(self, name: str) -> tuple[int, bool, bool, bool, int]:
@@ -132,20 +133,24 @@ class Reader:
         leaf_slot = array("i", [-1 if w & QUIET else slot(h, len(slots)) for h, w in zip(leaf, what, strict=True)])
         mine, lead, shape = [0] * n, array("i", [-1] * n), [0] * n
         own, links = array("i", [-1] * n), array("i", [-1] * n)
-        only_links, loud = [False] * n, [False] * n
+        # 2: all text is in links, 1: in links and headings, 0: neither
+        only_links, loud, has_link = [0] * n, [False] * n, [False] * n
         for e in range(n - 1, -1, -1):
-            first, h, count, linked, speaks, inner = -1, 0, 0, True, False, []
+            first, h, count, linked, speaks, some, inner = -1, 0, 0, 2, False, False, []
             for c in kids[e]:
                 if c >= 0:
                     t, x = c, leaf[c]
-                    linked = linked and what[c] & LINK
+                    if what[c] & LINK:
+                        some = True
+                    else:
+                        linked = min(linked, 1 if kinds[e] & HEADING or names[e] in self.strong else 0)
                     speaks = speaks or not what[c] & QUIET
                 else:
                     c = ~c
                     if (t := lead[c]) < 0:
                         continue
                     x = mine[c]
-                    linked = linked and only_links[c]
+                    linked, some = min(linked, only_links[c]), some or has_link[c]
                     speaks = speaks or loud[c]
                     inner.append(shape[c])
                 if count == 0:
@@ -158,15 +163,15 @@ class Reader:
             lead[e], mine[e], loud[e] = first, h, speaks
             if speaks:
                 own[e] = slot(h, len(slots))
+            only_links[e], has_link[e] = linked, some
             if linked:
-                only_links[e] = True
-                # the subtree with the texts of its links masked: names, and whether there is a class, repeats left out
+                # the subtree with the texts of its links and headings masked: names, and whether there is a class, repeats left out
                 kind = kinds[e]
                 h = (names[e] + (kind & CLASSED)) * _P & _M
                 for x in dict.fromkeys(inner):
                     h = (h * _P + x + 7) & _M
                 shape[e] = h
-                if kind & (BLOCK | PARAGRAPH) or kind & WHOLE and kind & CLASSED:
+                if some and (kind & (BLOCK | PARAGRAPH) or kind & WHOLE and kind & CLASSED if linked == 2 else kind & BLOCK and kind & (SIDE | CLASSED)):
                     links[e] = slot(h, len(slots))
         # elements of a kind: their name and that of the element around their first text
         order: dict[tuple[int, int], int] = {}
