@@ -344,38 +344,53 @@ def needed(text: str, k: int) -> bool:
     return c == "\u200c" and _joining.match(before) is not None and _arabic.match(after) is not None
 
 
-def _count(members: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ones = np.array(sorted(ord(m) for m in members if len(m) == 1))
-    pairs = {(ord(m[0]) << 32) | ord(m[1]): m for m in members if len(m) == 2}
-    longer = {m: 0 for m in members if len(m) > 2}
-    find = ahocorasick.Automaton()
-    for m in longer:
-        find.add_word(m, m)
-    find.make_automaton()
-    keys = np.array(sorted(pairs), dtype=np.uint64)
-    # of all neighbours only those are looked up whose second character ends a pair, and whose first one begins one
-    place = np.zeros(0x110000, dtype=np.uint8)
-    place[[ord(m[0]) for m in pairs.values()]] = 1
-    place[[ord(m[1]) for m in pairs.values()]] |= 2
-    single, double = np.zeros(0x110000, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-    for b in batches:
-        text = "\n".join(t for t in b.column(0).to_pylist() if t)
+class MemberCounts:
+    """Counts of all members of classes in texts."""
+
+    def __init__(self, members: list[str]):
+        self.ones = sorted(ord(m) for m in members if len(m) == 1)
+        self.pairs = {(ord(m[0]) << 32) | ord(m[1]): m for m in members if len(m) == 2}
+        self.longer = {m: 0 for m in members if len(m) > 2}
+        self.find = ahocorasick.Automaton()
+        for m in self.longer:
+            self.find.add_word(m, m)
+        self.find.make_automaton()
+        self.keys = np.array(sorted(self.pairs), dtype=np.uint64)
+        # of all neighbours only those are looked up whose second character ends a pair, and whose first one begins one
+        self.place = np.zeros(0x110000, dtype=np.uint8)
+        self.place[[ord(m[0]) for m in self.pairs.values()]] = 1
+        self.place[[ord(m[1]) for m in self.pairs.values()]] |= 2
+        self.single, self.double = np.zeros(0x110000, dtype=np.int64), np.zeros(len(self.keys), dtype=np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        text = "\n".join(texts)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         if not len(codes):
-            continue
+            return
         found = np.bincount(codes)
-        single[: len(found)] += found
-        at = place[codes]
+        self.single[: len(found)] += found
+        at = self.place[codes]
         marks = np.flatnonzero(at[:-1] & (at[1:] >> 1))
         both = (codes[marks].astype(np.uint64) << np.uint64(32)) | codes[marks + 1].astype(np.uint64)
-        at = np.searchsorted(keys, both)
-        at[at == len(keys)] = 0
-        hit = keys[at] == both
-        double += np.bincount(at[hit], minlength=len(keys))
-        for _, m in find.iter(text):
-            longer[m] += 1
-    out = [(chr(k), int(single[k])) for k in ones if single[k]] + [(pairs[int(k)], int(n)) for k, n in zip(keys, double, strict=True) if n] + [(m, n) for m, n in longer.items() if n]
-    yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["member", "n"])
+        at = np.searchsorted(self.keys, both)
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == both
+        self.double += np.bincount(at[hit], minlength=len(self.keys))
+        for _, m in self.find.iter(text):
+            self.longer[m] += 1
+
+    def counts(self) -> dict[str, int]:
+        out = {chr(k): int(self.single[k]) for k in self.ones if self.single[k]}
+        out |= {self.pairs[int(k)]: int(n) for k, n in zip(self.keys, self.double, strict=True) if n}
+        return out | {m: n for m, n in self.longer.items() if n}
+
+
+def _count(members: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counter = MemberCounts(members)
+    for b in batches:
+        counter.add([t for t in b.column(0).to_pylist() if t])
+    out = counter.counts()
+    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["member", "n"])
 
 
 def member_counts(texts: DataFrame) -> dict[str, int]:
