@@ -268,3 +268,49 @@ def test_bodies_in_boxes_stay(spark):
     got = {(r.doc_id, r.node_id) for r in boilerplate.main_text_nodes(spark.createDataFrame(rows, SCHEMA)).collect()}
     kept = {(r[0], r[1]) for r in rows if r[3] == "text" and r[6] not in ("Read also", "Get our letter every week.")}
     assert got == kept
+
+
+def test_tokens_are_sifted_together(repairer, monkeypatch):
+    """The readings of many tokens are looked for in the few pairs of encodings that can hold one; the results are those of each text by itself."""
+    counts = mojibake.pair_counts(CLEAN * 400).astype(np.float32)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgéèüößñçåøабвгдежзαβγδεжи“”’–") for _ in range(rng.randint(3, 9))) + f" {c}" for c in CLEAN for _ in range(4)]
+    for text in [*CLEAN, "日本語の文章です。東京は大きい", "中文句子，很长"]:
+        for meant in ("utf-8", *mojibake.WIDE, *mojibake.NARROW[::3]):
+            for assumed in mojibake.ASSUMED[::2]:
+                texts.append(text.encode(meant, "ignore").decode("cp1252" if assumed == "latin" else assumed, "replace"))
+        for assumed in mojibake.ASSUMED_WIDE:
+            texts += [f"{t.encode()[cut:].decode(assumed, 'replace')}{t}" for t in (text, *MORE) for cut in (0, 1)]
+    texts += ["", "plain", "日本語", texts[0], f"{CLEAN[0]} {texts[99]}", "é" * 300, "鈥檚 a sentence", "\U0001f600é\U0001f600", "a\nÃ©\n日é日"]
+    rng.shuffle(texts)
+    tried, spans = [0], mojibake.Repairer._wide_spans
+
+    def counted(*args):
+        tried[0] += 1
+        return spans(*args)
+
+    monkeypatch.setattr(mojibake.Repairer, "_wide_spans", counted)
+    expected = [repairer.repair(t) for t in texts]
+    alone, tried[0] = tried[0], 0
+    assert mojibake.Repairer(counts).repair_all(texts) == expected
+    assert tried[0] * 4 < alone
+    monkeypatch.setattr(mojibake, "SIFTED_CHARS", 200)  # short stretches, and texts beyond them
+    assert mojibake.Repairer(counts).repair_all(texts) == expected
+
+
+def test_sieve_keeps_every_reading(repairer):
+    """Whatever pair of encodings a token reads better in is among those that the sieve keeps."""
+    keys = []
+    for text in [*CLEAN, "日本語の文章です", "한국어", "很长的中文"]:
+        for name in (*mojibake.WIDE, *mojibake.NARROW[::2]):
+            for assumed in mojibake.ASSUMED[::2]:
+                seen = text.encode(name, "ignore").decode("cp1252" if assumed == "latin" else assumed, "replace")
+                for left, right in ((" ", " "), ("\n", "日"), ("é", "\U0001f600")):
+                    keys += [left + w + right for w in seen.split() if not w.isascii()]
+    keys = list(dict.fromkeys(keys))
+    repairer.repair_all([f"é{k}" for k in range(99)])
+    hopes = repairer.sieve.hopes(keys)
+    found = [repairer._readings(k[0], k[1:-1], k[-1]) for k in keys]
+    assert sum(map(bool, found)) > 50
+    assert all({pair for pair, _ in f} <= {" ".join(h) for h in hope} for f, hope in zip(found, hopes, strict=True))
+    assert found == [repairer._readings(k[0], k[1:-1], k[-1], hope) for k, hope in zip(keys, hopes, strict=True)]
